@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tripchain.config import Config
 from tripchain.operators.chain import CARD, is_boarding
+from tripchain.session import settle
 from tripchain.operators.skew import BLOCK_BITS, group_stats, join_back, rank_rows
 
 DAY_ORDER = ("id_viaje", "id_etapa", "tipo_trx_tren")
@@ -24,10 +25,10 @@ def next_trx(df: DataFrame, card: Sequence[str] = CARD, spread: bool = False) ->
         window = W.partitionBy(*card).orderBy(*order.values(), F.col("id").asc())
         following = F.coalesce(F.lead(tap).over(window), F.first(tap).over(window))
         return df.withColumns({"fila": F.row_number().over(window).cast("long"), "next": following})
-    placed = rank_rows(
+    placed = settle(rank_rows(
         df.withColumn("_stages", F.shiftright("id_etapa", BLOCK_BITS)), card, order, "fila",
         coarse={"id_viaje": order["id_viaje"], "_stages": F.col("_stages").asc_nulls_last()},
-        spread=True).drop("_stages").checkpoint()
+        spread=True).drop("_stages"), "placed")
     last = placed.groupBy(*card).agg(F.max("fila").alias("_last"))
     # A tap's place in the day is unique, so this join has no hot key.
     follower = join_back(placed.select(*card, "fila", tap.alias("next")), last, card).select(

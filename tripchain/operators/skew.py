@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tripchain.config import Config
-from tripchain.session import shared_dir
+from tripchain.session import settle
 
 # Ids are unique integers, so one block of ids holds at most this many rows.
 BLOCK_BITS = 20
@@ -37,7 +37,7 @@ class Cards:
         if self.hot is None:
             return Cards(cold)
         hot = step(self.hot, *args, spread=True, **kwargs)
-        return Cards(cold, hot.checkpoint() if cut else hot)
+        return Cards(cold, settle(hot, "hot") if cut else hot)
 
     def map(self, step: Callable[..., DataFrame], *args, **kwargs) -> "Cards":
         """Run a row-wise step, the same on both parts."""
@@ -54,19 +54,16 @@ def split_hot(df: DataFrame, config: Config = Config()) -> Cards:
     Runs one job: a count per card, which combines map-side. The list of hot cards has at
     most rows / hot_rows entries. Its real size decides whether it is broadcast.
     """
-    shared_dir(df.sparkSession)
     card = list(config.card_keys)
-    hot_cards = (
-        df.groupBy(*card).agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > config.hot_rows).select(*card).checkpoint()
-    )
+    counts = df.groupBy(*card).agg(F.count("*").alias("_n"))
+    hot_cards = settle(counts.where(F.col("_n") > config.hot_rows).select(*card), "hot-cards")
     found = hot_cards.count()
     if found == 0:
         return Cards(df)
     if found <= config.hot_broadcast:
         hot_cards = F.broadcast(hot_cards)
     return Cards(df.join(hot_cards, card, "left_anti"),
-                 df.join(hot_cards, card, "left_semi").checkpoint())
+                 settle(df.join(hot_cards, card, "left_semi"), "hot"))
 
 
 def join_back(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from tripchain.config import BUS, METRO, TRAIN, Config
 from tripchain.operators import chain, clean, destinations, nearest, ties, trips
 from tripchain.operators.skew import Cards, split_hot
-from tripchain.session import scratch_path
+from tripchain.session import settle
 from tripchain.sources.csv import save_table
 
 
@@ -89,11 +89,9 @@ def stop_lookups(trx: DataFrame, stops: DataFrame, lines: DataFrame, config: Con
     They grow with the area and not with the taps. As tables their size is known, so that the
     planner broadcasts them below its threshold and shuffles them above.
     """
-    spark = trx.sparkSession
-    places = save_table(tap_places(trx, lines, config), scratch_path(spark, "places"))
-    return Lookups(
-        save_table(nearest.origin_lookup(places, stops, config), scratch_path(spark, "origin")),
-        save_table(nearest.destination_lookup(places, stops, config), scratch_path(spark, "destination")))
+    places = settle(tap_places(trx, lines, config), "places")
+    return Lookups(settle(nearest.origin_lookup(places, stops, config), "origin"),
+                   settle(nearest.destination_lookup(places, stops, config), "destination"))
 
 
 def with_origins(trx: DataFrame, lines: DataFrame, lookups: Lookups, config: Config = Config()) -> Cards:

@@ -63,6 +63,17 @@ def trx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shape(taps, schemas.TRX)
 
 
+def raw_trx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Taps as before masking: vehicle and card numbers, six-decimal coordinates, a full time."""
+    event = F.col("event_id")
+    offset = lambda factor: (event * factor) % 100_000
+    micro = lambda value: (value.cast("decimal(12,0)") / F.lit(1_000_000)).cast(schemas.COORD)
+    return _table(spark, sf_dir, "events").select(
+        event.alias("id"), F.col("user_id").alias("id_tarjeta"),
+        F.when(event % 3 != 0, event % 1000).alias("interno_bus"),
+        micro(-34_600_000 + offset(53)).alias("lat"), micro(-58_500_000 + offset(37)).alias("lon"), "ts")
+
+
 def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     digit = key % 10
