@@ -45,3 +45,5 @@ class Config:
     hot_rows: int = 2_000
     # Largest list of such cards that is still broadcast.
     hot_broadcast: int = 1_000_000
+    # Most stops (counted per line and branch) that are broadcast to the places.
+    broadcast_spots: int = 1_000_000

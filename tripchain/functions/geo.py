@@ -28,8 +28,7 @@ def point_in_buffer(lon: str, lat: str, center_lon: str, center_lat: str,
     buffer, one corner due east. Takes SQL expressions. Only points between the inner and the
     outer circle of the polygon need the trigonometry.
     """
-    dx = f"(cast({lon} AS double) - cast({center_lon} AS double))"
-    dy = f"(cast({lat} AS double) - cast({center_lat} AS double))"
+    dx, dy = f"(double({lon}) - double({center_lon}))", f"(double({lat}) - double({center_lat}))"
     squared = f"({dx} * {dx} + {dy} * {dy})"
     wedge = math.pi / (2 * quad_segs)
     inner = radius * math.cos(wedge / 2)

@@ -56,12 +56,14 @@ def checkout_only(df: DataFrame, card: Sequence[str] = CARD) -> DataFrame:
 def checkout_targets(df: DataFrame, card: Sequence[str] = CARD) -> DataFrame:
     """viaje_target and etapa_target: the previous trip of the card, and the latest check-in
     stage of any trip before. A RANGE frame over strictly smaller trips in place of a self-join."""
+    # Same sort as the windows per trip. It puts unknown trips into every frame, where they must not
+    # count.
     earlier = (
-        W.partitionBy(*card).orderBy(F.col("id_viaje_temp").asc_nulls_last())
+        W.partitionBy(*card).orderBy(F.col("id_viaje_temp").asc_nulls_first())
         .rangeBetween(W.unboundedPreceding, -1)
     )
     known = F.col("id_viaje_temp").isNotNull()
-    check_in = F.when(F.col("tipo_trx_tren") == CHECK_IN, F.col("id_etapa"))
+    check_in = F.when(known & (F.col("tipo_trx_tren") == CHECK_IN), F.col("id_etapa"))
     return df.withColumns({
         "viaje_target": F.when(known, F.max("id_viaje_temp").over(earlier)),
         "etapa_target": F.when(known, F.max(check_in).over(earlier)),

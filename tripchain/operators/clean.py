@@ -69,17 +69,20 @@ def _all_known(keys: Sequence[str]) -> Column:
 
 def double_tap_limits(df: DataFrame, mode: str, card: Sequence[str] = CARD,
                       spread: bool = False) -> DataFrame:
-    """Add ``_repeated`` (rows of the mode with the same detection columns) and ``_last`` (the id
-    below which rows with the same deletion columns go; null where nothing goes)."""
+    """Add ``_last``: the id below which rows with the same deletion columns go, null where nothing
+    goes. Unknown values never equal anything, so rows that have them neither delete nor go."""
     detect, delete = ([*card, *keys] for keys in DOUBLE_TAPS[mode])
-    counted = group_stats(df, detect, {"_repeated": F.count_if(F.col("modo") == mode)}, spread)
-    # Unknown values never equal anything, so rows that have them neither delete nor go.
-    doubled = F.when((F.col("_repeated") > 1) & _all_known(detect), F.col("id"))
-    return group_stats(counted, delete, {"_last": F.max(doubled)}, spread)
+    counts = {"_repeated": F.count_if(F.col("modo") == mode), "_top": F.max("id")}
+    doubled = F.when((F.col("_repeated") > 1) & _all_known(detect), F.col("_top"))
+    found = group_stats(df, detect, counts, spread).withColumn("_last", doubled).drop(*counts)
+    if detect == delete:
+        return found
+    return group_stats(found.withColumnRenamed("_last", "_found"), delete,
+                       {"_last": F.max("_found")}, spread).drop("_found")
 
 
 def drop_double_taps(df: DataFrame, mode: str, card: Sequence[str] = CARD,
                      spread: bool = False) -> DataFrame:
     """Of taps of one card at the same place and hour keep the one with the highest id."""
     stays = F.col("_last").isNull() | (F.col("id") >= F.col("_last"))
-    return double_tap_limits(df, mode, card, spread).where(stays).drop("_repeated", "_last")
+    return double_tap_limits(df, mode, card, spread).where(stays).drop("_last")

@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 from tripchain.config import Config
 from tripchain.functions.geo import point_in_buffer, with_bin, with_near_bins
 from tripchain.functions.hexgrid import distance, reach_degrees, with_cell
+from tripchain.session import settle
 
 LINE, BRANCH = "linea", "ramal"
+# Parts of a bin in the join with more stops than can be broadcast.
+SALTS = 16
 
 
 def with_route(df: DataFrame, config: Config = Config()) -> DataFrame:
@@ -43,21 +46,35 @@ def stops_by_route(stops: DataFrame, config: Config = Config(), kinds: Sequence[
         .where(F.col("route").isNotNull() & F.col("stop_lon").isNotNull() & F.col("stop_lat").isNotNull())
         .groupBy("route_kind", "route", "stop_lon", "stop_lat").agg(F.min("id").alias("stop"))
     )
-    return with_cell(spots, config, "stop_lon", "stop_lat", "stop_q", "stop_r")
+    return settle(with_cell(spots, config, "stop_lon", "stop_lat", "stop_q", "stop_r"), "spots")
 
 
 def nearest(places: DataFrame, spots: DataFrame, on: Sequence[str], by: Sequence[str], width: float,
-            accept: Column | None = None, max_cells: int | None = None) -> DataFrame:
+            accept: Column | None = None, max_cells: int | None = None,
+            broadcast_spots: int = Config.broadcast_spots) -> DataFrame:
     """The stop at the smallest cell distance (lowest id on a draw) per ``by``.
 
     ``places`` have lon, lat, cell_q, cell_r; ``on`` are the columns equal on both sides besides the
-    bin. ``accept`` tests a pair, ``max_cells`` cuts pairs before the choice.
+    bin. ``accept`` tests a pair (coordinates as doubles end in _deg), ``max_cells`` cuts pairs before
+    the choice.
     """
+    cores = places.sparkSession.sparkContext.defaultParallelism
+    as_double = lambda df, *columns: df.withColumns(
+        {f"{c}_deg": F.col(c).cast("double") for c in columns})
+    # Each place meets many stops: spread the few places over all cores, whatever their size.
+    spread = as_double(places.repartition(cores, "cell_q", "cell_r"), "lon", "lat")
     # Only the nine bins round a place can hold a stop within a bin's width of it.
-    near = with_near_bins(places, "lon", "lat", width)
-    keyed = with_bin(spots, "stop_lon", "stop_lat", width)
-    pairs = near.join(keyed, [*on, "bin_x", "bin_y"]).withColumn(
-        "_dist", F.expr(distance("cell_q", "cell_r", "stop_q", "stop_r")))
+    near = with_near_bins(spread, "lon_deg", "lat_deg", width)
+    keyed = with_bin(as_double(spots, "stop_lon", "stop_lat"), "stop_lon_deg", "stop_lat_deg", width)
+    on = [*on, "bin_x", "bin_y"]
+    if spots.count() <= broadcast_spots:
+        pairs = near.join(F.broadcast(keyed), on)
+    else:
+        # A bin in the centre may have a large share of the places: cut each bin into salts.
+        salted = near.withColumn("_salt", F.pmod(F.xxhash64("lon", "lat"), F.lit(SALTS)).cast("int"))
+        copies = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = salted.join(copies, [*on, "_salt"])
+    pairs = pairs.withColumn("_dist", F.expr(distance("cell_q", "cell_r", "stop_q", "stop_r")))
     if max_cells is not None:
         pairs = pairs.where(F.col("_dist") <= max_cells)
     if accept is not None:
@@ -86,7 +103,8 @@ def origin_lookup(places: DataFrame, stops: DataFrame, config: Config = Config()
     return nearest(
         with_cell(places.select(*by), config), stops_by_route(stops, config),
         on=["route_kind", "route"], by=by,
-        width=reach_degrees(config.origin_cells, config.hex_side_m), max_cells=config.origin_cells)
+        width=reach_degrees(config.origin_cells, config.hex_side_m), max_cells=config.origin_cells,
+        broadcast_spots=config.broadcast_spots)
 
 
 def destination_lookup(places: DataFrame, stops: DataFrame, config: Config = Config()) -> DataFrame:
@@ -95,10 +113,11 @@ def destination_lookup(places: DataFrame, stops: DataFrame, config: Config = Con
     The distance cut comes after the choice of one candidate per stage, so it is not applied here.
     """
     spots = stops_by_route(stops, config, (LINE,)).drop("route_kind").withColumnRenamed("route", "line")
-    held = point_in_buffer("lon", "lat", "stop_lon", "stop_lat", config.buffer_deg, config.buffer_quad_segs)
+    held = point_in_buffer("lon_deg", "lat_deg", "stop_lon_deg", "stop_lat_deg", config.buffer_deg, config.buffer_quad_segs)
     return nearest(
         with_cell(places.select("lon", "lat").distinct(), config), spots,
-        on=[], by=["line", "lon", "lat"], width=config.buffer_deg, accept=held)
+        on=[], by=["line", "lon", "lat"], width=config.buffer_deg, accept=held,
+        broadcast_spots=config.broadcast_spots)
 
 
 def impute_origin(df: DataFrame, lookup: DataFrame, config: Config = Config()) -> DataFrame:

@@ -30,28 +30,31 @@ def _is_tied() -> Column:
     return F.col(STAGE).isNotNull() & (F.col("_tied") > 1)
 
 
-def tied_stages(df: DataFrame, config: Config = Config(), card: Sequence[str] = CARD,
-                spread: bool = False) -> DataFrame:
-    """Add ``_tied``: how many taps of a tied mode share the row's stage."""
-    return group_stats(df, [*card, STAGE], {"_tied": _tied_count(config)}, spread)
+def tied_groups(df: DataFrame, config: Config = Config(), card: Sequence[str] = CARD) -> DataFrame:
+    """Stages that more than one tap of a tied mode shares, with the number of those taps."""
+    return (
+        df.where(F.col("modo").isin(*config.tied_modes) & F.col(STAGE).isNotNull())
+        .groupBy(*card, STAGE).agg(F.count("*").alias("taps")).where("taps > 1")
+    )
 
 
-def _count_down(df: DataFrame, ranked: Column, card: Sequence[str], order: dict[str, Column],
+def _count_down(df: DataFrame, moves: Column, card: Sequence[str], order: dict[str, Column],
                 spread: bool) -> DataFrame:
-    """Stage id minus (rank - 1) for the rows where ``ranked`` holds."""
-    flagged = df.withColumn("_ranked", F.coalesce(ranked, F.lit(False)))
-    keys = [*card, STAGE, "_ranked"]
+    """Stage id minus (rank - 1) for the rows where ``moves`` holds. The rows of a stage where it
+    does not hold must come last in the order."""
+    flagged = df.withColumn("_moves", F.coalesce(moves, F.lit(False)))
+    keys = [*card, STAGE]
     step = F.col(STAGE) - F.col("_rank") + 1
     if not spread:
         return (
             rank_rows(flagged, keys, order, "_rank")
-            .withColumn(STAGE, F.when(F.col("_ranked"), step).otherwise(F.col(STAGE)))
-            .drop("_ranked", "_rank")
+            .withColumn(STAGE, F.when(F.col("_moves"), step).otherwise(F.col(STAGE)))
+            .drop("_moves", "_rank")
         )
-    moved = rank_rows(flagged.where("_ranked"), keys, order, "_rank", spread=True)
+    moved = rank_rows(flagged.where("_moves"), keys, order, "_rank", spread=True)
     return (
-        moved.withColumn(STAGE, step).drop("_ranked", "_rank")
-        .unionByName(flagged.where("not _ranked").drop("_ranked"))
+        moved.withColumn(STAGE, step).drop("_moves", "_rank")
+        .unionByName(flagged.where("not _moves").drop("_moves"))
     )
 
 
@@ -60,8 +63,8 @@ def order_by_next(df: DataFrame, config: Config = Config(), card: Sequence[str]
     """Boardings of a tied stage: the nearer to a boarding of the next stage, the later."""
     added = ["_tied", "_dist"]
     ranked = _with_next_distance_spread(df, config, card) if spread else _with_next_distance(df, config, card)
-    moves = _is_tied() & is_boarding() & F.col("_dist").isNotNull()
-    return _count_down(ranked, moves, card, {"_dist": F.col("_dist").asc()}, spread).drop(*added)
+    moves = _is_tied() & F.col("_dist").isNotNull()
+    return _count_down(ranked, moves, card, {"_dist": F.col("_dist").asc_nulls_last()}, spread).drop(*added)
 
 
 def _with_next_distance(df: DataFrame, config: Config, card: Sequence[str]) -> DataFrame:
@@ -76,7 +79,7 @@ def _with_next_distance(df: DataFrame, config: Config, card: Sequence[str]) -> D
     best = F.expr(f"array_min(transform(_next, c -> {steps}))")
     return (
         stats.withColumn("_next", F.last("_here").over(later))
-        .withColumn("_dist", F.when(_is_tied(), best))
+        .withColumn("_dist", F.when(_is_tied() & is_boarding(), best))
         .drop("_here", "_next")
     )
 
@@ -96,7 +99,8 @@ def _with_next_distance_spread(df: DataFrame, config: Config, card: Sequence[str
         [*card, "_next_stage"], "inner").select(*keys, "cell_q", "cell_r")
     found = nearest_cells(members, targets, keys)
     with_tied = join_back(df, stages, keys)
-    return join_back(with_tied, found, [*keys, "cell_q", "cell_r"])
+    return join_back(with_tied, found, [*keys, "cell_q", "cell_r"]).withColumn(
+        "_dist", F.when(is_boarding(), F.col("_dist")))
 
 
 def order_by_previous(df: DataFrame, config: Config = Config(), card: Sequence[str] = CARD,
@@ -123,13 +127,14 @@ def order_by_previous(df: DataFrame, config: Config = Config(), card: Sequence[s
         linked = join_back(
             df, previous.select(*card, STAGE, "_tied", "_previous"), [*card, STAGE])
     else:
+        # Same sort as the window per stage; a seat without a stage is no previous stage.
         earlier = (
-            W.partitionBy(*card).orderBy(F.col(STAGE).asc_nulls_last())
+            W.partitionBy(*card).orderBy(F.col(STAGE).asc_nulls_first())
             .rangeBetween(W.unboundedPreceding, -1)
         )
         linked = (
             group_stats(df, [*card, STAGE], stats)
-            .withColumn("_previous", F.last("_seat").over(earlier)).drop("_seat")
+            .withColumn("_previous", F.last(F.when(F.col(STAGE).isNotNull(), F.col("_seat"))).over(earlier)).drop("_seat")
         )
     moves = _is_tied() & F.col("_previous").isNotNull()
     to_previous = distance("cell_q", "cell_r", "_previous.cell_q", "_previous.cell_r")
@@ -141,5 +146,12 @@ def order_by_previous(df: DataFrame, config: Config = Config(), card: Sequence[s
 def order_by_id(df: DataFrame, config: Config = Config(), card: Sequence[str] = CARD,
                 spread: bool = False) -> DataFrame:
     """Taps that are still tied: the lowest id keeps the stage."""
-    counted = tied_stages(df, config, card, spread)
-    return _count_down(counted, _is_tied(), card, {}, spread).drop("_tied")
+    keys = [*card, STAGE]
+    if not spread:
+        # The rank's sort serves the count too.
+        ranked = rank_rows(df, keys, {}, "_rank")
+        counted = group_stats(ranked, keys, {"_tied": _tied_count(config)})
+        step = F.when(_is_tied(), F.col(STAGE) - F.col("_rank") + 1).otherwise(F.col(STAGE))
+        return counted.withColumn(STAGE, step).drop("_rank", "_tied")
+    counted = group_stats(df, keys, {"_tied": _tied_count(config)}, spread=True)
+    return _count_down(counted, _is_tied(), card, {}, spread=True).drop("_tied")

@@ -137,11 +137,7 @@ def _dedup(*modes: str) -> Callable[[_Inputs], DataFrame]:
 
 
 def tied_groups(t: _Inputs) -> DataFrame:
-    taps = day.cleaned(t.trx, t.lines, CONFIG).union()
-    return (
-        taps.where(F.col("modo").isin(*CONFIG.tied_modes) & F.col("id_etapa").isNotNull())
-        .groupBy("id_tarjeta", "id_etapa").agg(F.count("*").alias("taps")).where("taps > 1")
-    )
+    return ties.tied_groups(day.cleaned(t.trx, t.lines, CONFIG).union(), CONFIG)
 
 
 def _tie(passes: int) -> Callable[[_Inputs], DataFrame]:
