@@ -118,8 +118,8 @@ def finished_stages(trx: DataFrame, stops: DataFrame, lines: DataFrame, config:
 
 
 def run(trx: DataFrame, stops: DataFrame, lines: DataFrame, config: Config = Config()) -> Result:
-    """Lazy result tables. Each is a full plan of its own; to get all three, ``write_results``
-    computes the stages once."""
+    """Result tables. The stop lookups and the hot-card count run at once, the tables when they are
+    used. Each is a full plan of its own; to get all three, ``write_results`` computes the stages once."""
     stages = finished_stages(trx, stops, lines, config)
     return Result(stages, trips.build_trips(stages, config.card_keys),
                   trips.build_cards(stages, config.card_keys))
