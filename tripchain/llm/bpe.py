@@ -106,11 +106,12 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
         pieces = v.token_bytes
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
-            values, ends = column.flatten(), np.cumsum([0, *(len(x) if x.is_valid else 0 for x in column)]) if column.null_count else (
-                np.asarray(column.offsets) - column.offsets[0].as_py() if len(column) else np.zeros(1, int))
-            values = [x if x is not None and 0 <= x < v.size else v.size for x in values.to_pylist()]
-            names = [*pieces, b""]
-            said = [b"".join(map(names.__getitem__, values[a:b])).decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            said = []
+            for i in range(len(column)):
+                row = np.asarray(column[i].values) if column[i].is_valid else np.empty(0, np.int32)
+                if row.dtype != np.int32 or (len(row) and (row.min() < 0 or row.max() >= v.size)):
+                    row = np.array([x for x in column[i].as_py() if x is not None and 0 <= x < v.size], np.int32)
+                said.append(b"".join(map(pieces.__getitem__, row.tolist())).decode("utf-8", "replace"))
             kept = {name: batch.column(i) for i, name in enumerate(batch.schema.names) if name != text}
             yield pa.RecordBatch.from_pydict(kept | {text: pa.array(said, pa.string())})
 

@@ -96,7 +96,7 @@ def vocabulary(path: str) -> Vocabulary:
 class WordCache:
     """What a worker has found for words so far. Emptied when it holds ``most`` words; that costs time, never results."""
 
-    def __init__(self, make, most: int = 400_000):
+    def __init__(self, make, most: int = 200_000):
         self.make, self.most, self.found = make, most, {}
 
     def fill(self, texts: list[list[str]]) -> dict[str, bytes]:
