@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripchain.llm import bpe, chat, decontaminate, sharding, token_counts
+from tripchain.llm import ann, bpe, chat, decontaminate, sharding, token_counts
 from tripchain.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -43,9 +43,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Query]:
     return {q.__name__: q for q in (
-        op1_decontaminate, op4_bpe, op5_shards, op8_chat, op9_token_counts)}
+        op1_decontaminate, op4_bpe, op5_shards, op8_chat, op9_token_counts, op10_ann)}
 
 
 _LT = r"(<)(\\*)(\|im_(?:start|sep|end)\|>|/?s>|</?SYS>>)"
