@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripchain.llm import ann, bpe, chat, decontaminate, sharding, token_counts
+from tripchain.llm import ann, bpe, chat, decontaminate, html_text, quality, sharding, token_counts
 from tripchain.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -19,6 +19,14 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -49,7 +57,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {q.__name__: q for q in (
-        op1_decontaminate, op4_bpe, op5_shards, op8_chat, op9_token_counts, op10_ann)}
+        op1_decontaminate, op2_quality, op3_html_text, op4_bpe, op5_shards, op8_chat, op9_token_counts, op10_ann)}
 
 
 _LT = r"(<)(\\*)(\|im_(?:start|sep|end)\|>|/?s>|</?SYS>>)"
