@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripchain.llm import ann, bpe, chat, decontaminate, html_text, quality, sharding, substrings, token_counts
+from tripchain.llm import ann, bpe, chat, decontaminate, html_text, jaccard, quality, sharding, substrings, token_counts
 from tripchain.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -36,6 +36,10 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {q.__name__: q for q in (
-        op1_decontaminate, op2_quality, op3_html_text, op4_bpe, op5_shards, op7_substrings, op8_chat, op9_token_counts, op10_ann)}
+        op1_decontaminate, op2_quality, op3_html_text, op4_bpe, op5_shards, op6_jaccard, op7_substrings, op8_chat, op9_token_counts, op10_ann)}
 
 
 _LT = r"(<)(\\*)(\|im_(?:start|sep|end)\|>|/?s>|</?SYS>>)"
