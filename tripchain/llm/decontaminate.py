@@ -14,6 +14,7 @@ windows; an item with a null id is left out; items that share an id count once;
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -225,6 +226,37 @@ def _searcher(sent, n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return search
 
 
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
+def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without the words of the spans and what stands between them."""
+    places = [m.span() for m in _WORD.finditer(text)]
+    out, at = [], 0
+    for first, end in spans:
+        out.append(text[at : places[first][0]])
+        at = places[end - 1][1]
+    return b"".join([*out, text[at:]])
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
+    """The documents with the merged spans cut out of their texts; other texts stay as they are."""
+    columns = docs.columns
+    others = tuple(c for c in columns if c != "text")
+    found = find_spans(docs, benchmark, n, extra=others).select(*others, "text", "spans")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans = batch.column(len(others)).to_pylist(), batch.column(len(others) + 1).to_pylist()
+            said = [cut_spans(t.encode(), [(s["first"], s["end"]) for s in x]).decode() if x else t for t, x in zip(texts, spans)]
+            yield pa.RecordBatch.from_pydict({c: batch.column(i) for i, c in enumerate(others)} | {"text": pa.array(said, pa.string())})
+
+    out = found.mapInArrow(cut, found.drop("spans").schema)
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out.select(columns)
+
+
 def report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every document."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["first"])

@@ -322,6 +322,16 @@ def remove_repeats(docs: DataFrame, window: int = 35, scratch: Scratch | None =
     return texts.join(told, "tk", "left").select("tk", "text", "n", "ranges").mapInArrow(cut, "tk binary, n_words long, n_removed long, kept string")
 
 
+def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
+    """The documents with the words in repeated windows cut out; texts without any stay as they are."""
+    scratch, own = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    changed = own.keep(remove_repeats(docs, window, scratch).where("n_removed > 0").select(F.col("tk").alias("_tk"), F.col("kept").alias("_kept")), "changed")
+    scratch.drop()
+    joined = docs.withColumn("_tk", text_key(F.col("text"))).join(changed, "_tk", "left")
+    text = F.coalesce("_kept", "text")
+    return joined.withColumns({"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})).select(docs.columns)
+
+
 def report(docs: DataFrame, window: int = 35) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every document."""
     scratch = Scratch(docs.sparkSession)
