@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripchain.config import Config
-from tripchain.functions.geo import point_in_buffer
+from tripchain.functions.geo import point_in_buffer, with_bin, with_near_bins
 from tripchain.functions.hexgrid import distance, with_cell
 from tripchain.operators import nearest
 from tripchain.operators.skew import split_hot
@@ -66,3 +66,12 @@ def test_hot_cards_are_split_off_whole(taps, hot_broadcast):
     assert (parts.hot.count(), parts.cold.count()) == (40, 20)
     assert parts.union().select("id").distinct().count() == 60
     assert split_hot(df, Config(hot_rows=40)).hot is None
+
+
+@pytest.mark.parametrize("dx, dy", [(0.03, 0), (-0.03, 0), (0, 0.03), (0, -0.03)])
+def test_bins_hold_stops_exactly_at_the_buffer(spark, dx, dy):
+    """Over the whole service area, on its grid of thousandths."""
+    places = spark.range(4001).selectExpr("id", "-61 + id / 1000D AS lon", "-36 + (id % 3001) / 1000D AS lat")
+    stops = places.selectExpr("id", f"round(lon + {dx}D, 3) AS lon", f"round(lat + {dy}D, 3) AS lat")
+    met = with_near_bins(places, "lon", "lat", 0.03).join(with_bin(stops, "lon", "lat", 0.03).select("id", "bin_x", "bin_y"), ["id", "bin_x", "bin_y"])
+    assert met.count() == 4001

@@ -23,10 +23,8 @@ class Config:
     lon_min: float = -61.0
     lon_max: float = -57.0
 
-    # Hexagonal grid: "planar" (column expressions) or "h3" (needs the h3 package).
-    grid: str = "planar"
+    # Planar hexagon grid with the side of an H3 resolution-10 cell.
     hex_side_m: float = 66.0
-    h3_resolution: int = 10
 
     # A stop is a stage's origin up to this many cells away, its destination up to
     # that many, and a destination candidate only inside the buffer round the stop.

@@ -41,7 +41,8 @@ def point_in_buffer(lon: str, lat: str, center_lon: str, center_lat: str,
 
 
 def _bin(column: str, width: float) -> str:
-    return f"floor(cast({column} AS double) / {width}D)"
+    """Bins are a hundredth wider than the reach, so that rounding cannot put two points exactly that far apart two bins apart."""
+    return f"floor(cast({column} AS double) / {width * 1.01}D)"
 
 
 def with_bin(df: DataFrame, lon: str, lat: str, width: float) -> DataFrame:

@@ -1,8 +1,6 @@
 """Hexagonal grid cells as two axial columns (q, r), and the distance between cells.
 
-The planar grid is plain column arithmetic. Its cells differ from H3 cells at the
-borders; with the ``h3`` package on the workers, ``grid="h3"`` gives real H3 cells in
-the same axial form, so that everything after this module is the same for both.
+The planar grid is plain column arithmetic. Its cells differ from H3 cells at the borders.
 """
 
 from __future__ import annotations
@@ -38,42 +36,10 @@ def _with_planar_cell(df: DataFrame, lon: str, lat: str, q: str, r: str, side: f
     )
 
 
-def _h3_axial(resolution: int):
-    """Arrow UDF from (lon, lat) to H3's local IJ coordinates, in axial form."""
-    try:
-        import h3  # noqa: F401
-    except ImportError as missing:
-        raise ImportError('grid="h3" needs the h3 package (version 4)') from missing
-    import pandas as pd
-
-    @F.pandas_udf("q long, r long")
-    def axial(lon: pd.Series, lat: pd.Series) -> pd.DataFrame:
-        import h3
-
-        origin = h3.latlng_to_cell(LAT0, LON0, resolution)
-        found = [
-            (None, None) if pd.isna(x) or pd.isna(y)
-            else h3.cell_to_local_ij(origin, h3.latlng_to_cell(float(y), float(x), resolution))
-            for x, y in zip(lon, lat)
-        ]
-        ij = pd.DataFrame(found, columns=["q", "r"], dtype="Int64")
-        ij["r"] = -ij["r"]
-        return ij
-
-    return axial
-
-
 def with_cell(df: DataFrame, config: Config = Config(), lon: str = "lon", lat: str = "lat",
               q: str = "cell_q", r: str = "cell_r") -> DataFrame:
     """Add the cell of a point as the columns ``q`` and ``r``."""
-    if config.grid == "planar":
-        return _with_planar_cell(df, lon, lat, q, r, config.hex_side_m)
-    if config.grid == "h3":
-        axial = _h3_axial(config.h3_resolution)
-        point = axial(F.col(lon).cast("double"), F.col(lat).cast("double"))
-        return df.withColumn("_axial", point).withColumns(
-            {q: F.col("_axial.q"), r: F.col("_axial.r")}).drop("_axial")
-    raise ValueError(f"unknown grid {config.grid!r}")
+    return _with_planar_cell(df, lon, lat, q, r, config.hex_side_m)
 
 
 def distance(q1: str, r1: str, q2: str, r2: str) -> str:
@@ -86,7 +52,7 @@ def reach_degrees(cells: int, side: float) -> float:
     """A width in degrees no pair of points at most ``cells`` apart can exceed.
 
     Centres are sqrt(3) sides apart and a point is at most one side off its centre.
-    The quarter on top covers the larger cells of a real H3 grid.
+    The quarter on top is a margin.
     """
     metres = (cells * math.sqrt(3.0) + 2.0) * side
     return 1.25 * metres / min(M_PER_LON, M_PER_LAT)

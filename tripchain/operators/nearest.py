@@ -58,11 +58,10 @@ def nearest(places: DataFrame, spots: DataFrame, on: Sequence[str], by: Sequence
     bin. ``accept`` tests a pair (coordinates as doubles end in _deg), ``max_cells`` cuts pairs before
     the choice.
     """
-    cores = places.sparkSession.sparkContext.defaultParallelism
     as_double = lambda df, *columns: df.withColumns(
         {f"{c}_deg": F.col(c).cast("double") for c in columns})
-    # Each place meets many stops: spread the few places over all cores, whatever their size.
-    spread = as_double(places.repartition(cores, "cell_q", "cell_r"), "lon", "lat")
+    # Each place meets many stops: spread the places by cell before they are matched.
+    spread = as_double(places.repartition("cell_q", "cell_r"), "lon", "lat")
     # Only the nine bins round a place can hold a stop within a bin's width of it.
     near = with_near_bins(spread, "lon_deg", "lat_deg", width)
     keyed = with_bin(as_double(spots, "stop_lon", "stop_lat"), "stop_lon_deg", "stop_lat_deg", width)

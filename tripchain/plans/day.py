@@ -129,7 +129,7 @@ def write_results(trx: DataFrame, stops: DataFrame, lines: DataFrame, path: str,
                   config: Config = Config(), partition_by: tuple[str, ...] = ()) -> Result:
     """Write stages, trips and cards as Parquet under ``path``; each is built from the last."""
     stages = save_table(finished_stages(trx, stops, lines, config), os.path.join(path, "etapas"), partition_by)
-    summary = trips.trips_with_sex(stages, config.card_keys)
+    summary = settle(trips.trips_with_sex(stages, config.card_keys), "trips")
     trip_table = save_table(summary.drop("_sexo_min", "_sexo_max"), os.path.join(path, "viajes"), partition_by)
-    cards = save_table(trips.build_cards(stages, config.card_keys), os.path.join(path, "tarjetas"), partition_by)
+    cards = save_table(trips.cards_from_trips(summary, config.card_keys), os.path.join(path, "tarjetas"), partition_by)
     return Result(stages, trip_table, cards)

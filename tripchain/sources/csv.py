@@ -40,4 +40,5 @@ def load_fares(spark: SparkSession, path: str) -> DataFrame:
 def save_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write a result table and return it as read back."""
     df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    # With the written schema: else a partition column's type is guessed from its folders' names.
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
