@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ class Scratch:
     """Tables written to the shared folder while an operator works; ``drop`` removes them again."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.tables = spark, [], []
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch_path(self.spark, name)
@@ -31,12 +32,23 @@ class Scratch:
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_by(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """A table in buckets of ``key``, which joins on it read without an exchange."""
+        path, kept = scratch_path(self.spark, name), f"scratch_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(kept)
+        self.paths.append(path)
+        self.tables.append(kept)
+        return self.spark.table(kept)
+
     def drop(self) -> None:
+        for kept in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {kept}")
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for path in self.paths:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(conf).delete(at, True)
-        self.paths = []
+        self.paths, self.tables = [], []
 
 
 def text_key(text: Column) -> Column:
