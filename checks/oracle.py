@@ -277,8 +277,8 @@ RESULTS: dict[str, str] = {
       JOIN st s ON s.linea = t.linea WHERE s.id = (SELECT min(z.id) FROM st z WHERE z.linea = s.linea)""",
     "buffer_join": f"""SELECT linea AS line, lo AS lon_milli, la AS lat_milli, best.p AS stop, best.d AS stop_dist FROM (
       SELECT s.linea, g.lo, g.la, min({{'d': {_steps('g', 's')}, 'p': s.id}}) AS best
-      FROM (SELECT DISTINCT lo, la, cq, cr FROM linetaps WHERE card IS NOT NULL AND modo IN ('COL', 'SUB', 'TRE')) g
-      JOIN st s ON {_inside('g', 's')} GROUP BY s.linea, g.lo, g.la)""",
+      FROM (SELECT DISTINCT linea, lo, la, cq, cr FROM linetaps WHERE card IS NOT NULL AND modo IN ('COL', 'SUB', 'TRE')) g
+      JOIN st s ON s.linea = g.linea AND {_inside('g', 's')} GROUP BY s.linea, g.lo, g.la)""",
     "origin_union": "SELECT route_kind, route, lo AS lon_milli, la AS lat_milli, stop, stop_dist FROM origins",
     "origin_stop": "SELECT id, card AS id_tarjeta, stage AS id_etapa, po AS parada_id_o FROM o2",
     "next_trx": "SELECT id, card AS id_tarjeta, fila, nid AS id_lead FROM nx",

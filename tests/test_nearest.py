@@ -47,9 +47,12 @@ def test_lookups_equal_all_pairs(taps, stop_table, scattered, broadcast_spots):
     assert expected and {(r.route_kind, r.route, r.lon, r.lat): (r.stop, r.stop_dist) for r in found} == expected
 
     lines = pairs[(pairs.kind == nearest.LINE) & pairs.held]
-    expected = {k: best(g) for k, g in lines.groupby(["own", "lon", "lat"])}
-    found = nearest.destination_lookup(places, stops, config).collect()
-    assert {(r.line, r.lon, r.lat): (r.stop, r.stop_dist) for r in found} == expected
+    # Pairs are asked for on one line each, so that some places are never asked for on the other.
+    asked = settle(places.selectExpr("CASE WHEN lon * 1000 % 2 = 0 THEN 1L ELSE 2L END AS line", "lon", "lat"), "asked")
+    wanted = {tuple(r) for r in asked.collect()}
+    expected = {k: best(g) for k, g in lines.groupby(["own", "lon", "lat"]) if k in wanted}
+    found = nearest.destination_lookup(asked, stops, config).collect()
+    assert expected and len(found) <= len(wanted) and {(r.line, r.lon, r.lat): (r.stop, r.stop_dist) for r in found} == expected
 
 
 def test_modes_without_stops_get_no_origin(taps, stop_table, scattered):

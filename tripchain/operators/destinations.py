@@ -36,6 +36,12 @@ def next_trx(df: DataFrame, card: Sequence[str] = CARD, spread: bool = False) ->
     return placed.join(follower, [*card, "fila"])
 
 
+def asked_pairs(linked: DataFrame) -> DataFrame:
+    """(line, lon, lat): boardings' lines at the places of their next taps, each pair once."""
+    return linked.where(is_boarding()).select(
+        F.col("id_linea").alias("line"), F.col("next.lon").alias("lon"), F.col("next.lat").alias("lat")).distinct()
+
+
 def impute_destination(df: DataFrame, lookup: DataFrame, config: Config = Config(),
                        card: Sequence[str] = CARD, spread: bool = False) -> DataFrame:
     """Add parada_id_d to rows that have ``next``: the stop of the row's line nearest to the next tap.

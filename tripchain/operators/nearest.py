@@ -106,16 +106,17 @@ def origin_lookup(places: DataFrame, stops: DataFrame, config: Config = Config()
         broadcast_spots=config.broadcast_spots)
 
 
-def destination_lookup(places: DataFrame, stops: DataFrame, config: Config = Config()) -> DataFrame:
-    """(line, place) → nearest stop of the line whose buffer holds the place, for any mode.
+def destination_lookup(asked: DataFrame, stops: DataFrame, config: Config = Config()) -> DataFrame:
+    """(line, place) → nearest stop of the line whose buffer holds the place, for the pairs of ``asked`` (line, lon, lat).
 
     The distance cut comes after the choice of one candidate per stage, so it is not applied here.
     """
+    by = ["line", "lon", "lat"]
     spots = stops_by_route(stops, config, (LINE,)).drop("route_kind").withColumnRenamed("route", "line")
     held = point_in_buffer("lon_deg", "lat_deg", "stop_lon_deg", "stop_lat_deg", config.buffer_deg, config.buffer_quad_segs)
     return nearest(
-        with_cell(places.select("lon", "lat").distinct(), config), spots,
-        on=[], by=["line", "lon", "lat"], width=config.buffer_deg, accept=held,
+        with_cell(asked.select(*by).distinct(), config), spots,
+        on=["line"], by=by, width=config.buffer_deg, accept=held,
         broadcast_spots=config.broadcast_spots)
 
 

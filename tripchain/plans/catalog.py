@@ -43,8 +43,8 @@ class _Inputs:
         self.lines = driver_tables.lines(spark, sf_dir)
         self.cells = driver_tables.cells(spark, sf_dir)
 
-    def lookups(self) -> day.Lookups:
-        return day.stop_lookups(self.trx, self.stops, self.lines, CONFIG)
+    def origins(self) -> DataFrame:
+        return day.origin_table(self.trx, self.stops, self.lines, CONFIG)
 
     def stages(self) -> DataFrame:
         return day.finished_stages(self.trx, self.stops, self.lines, CONFIG)
@@ -159,9 +159,10 @@ def point_in_buffer_query(t: _Inputs) -> DataFrame:
 
 
 def buffer_join(t: _Inputs) -> DataFrame:
-    """Per line and place: the nearest stop among those whose buffer holds the place, and its distance."""
-    places = day.tap_places(t.trx, t.lines, CONFIG)
-    return _show(nearest.destination_lookup(places, t.stops, CONFIG), "line", "lon_milli", "lat_milli", "stop", "stop_dist")
+    """Per line and place of a tap: the nearest of the line's stops whose buffer holds the place, and its distance."""
+    taps = clean.normalize_line(clean.in_service_area(chain.base_stages(t.trx, CONFIG.card_keys), CONFIG), t.lines)
+    own = nearest.with_route(taps, CONFIG).where("route IS NOT NULL").select(F.col("id_linea").alias("line"), "lon", "lat")
+    return _show(nearest.destination_lookup(own, t.stops, CONFIG), "line", "lon_milli", "lat_milli", "stop", "stop_dist")
 
 
 def origin_union(t: _Inputs) -> DataFrame:
@@ -172,17 +173,17 @@ def origin_union(t: _Inputs) -> DataFrame:
 
 
 def origin_stop(t: _Inputs) -> DataFrame:
-    return _show(day.with_origins(t.trx, t.lines, t.lookups(), CONFIG).union(),
+    return _show(day.with_origins(t.trx, t.lines, t.origins(), CONFIG).union(),
                  "id", "id_tarjeta", "id_etapa", "parada_id_o")
 
 
 def next_trx(t: _Inputs) -> DataFrame:
-    linked = day.with_next(t.trx, t.lines, t.lookups(), CONFIG).union()
+    linked = day.with_next(t.trx, t.lines, t.origins(), CONFIG).union()
     return linked.select("id", "id_tarjeta", "fila", F.col("next.id").alias("id_lead"))
 
 
 def dest_stop(t: _Inputs) -> DataFrame:
-    return _show(day.with_destinations(t.trx, t.lines, t.lookups(), CONFIG).union(),
+    return _show(day.with_destinations(t.trx, t.stops, t.lines, t.origins(), CONFIG).union(),
                  "id", "id_tarjeta", "id_viaje", "id_etapa", "parada_id_d")
 
 

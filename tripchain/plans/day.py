@@ -1,8 +1,7 @@
 """The whole chain: taps, stops and lines in; stages, trips and cards out.
 
-Ordinary cards need one exchange by card for everything up to the origin stop. While the stop
-lookups are small enough for AQE to broadcast, that exchange serves destinations, trips and cards
-as well.
+Ordinary cards need one exchange by card for everything up to the next tap while the origin table
+is small enough for AQE to broadcast, and one more, from a settled table, for destinations, trips and cards.
 """
 
 from __future__ import annotations
@@ -75,50 +74,48 @@ def tap_places(trx: DataFrame, lines: DataFrame, config: Config = Config()) -> D
     return nearest.places_of(taps, config)
 
 
-@dataclass(frozen=True)
-class Lookups:
-    """(route, place) → origin stop and (line, place) → destination stop."""
-
-    origin: DataFrame
-    destination: DataFrame
-
+def origin_table(trx: DataFrame, stops: DataFrame, lines: DataFrame, config: Config = Config()) -> DataFrame:
+    """(route, place) → origin stop, computed once and kept as a table in the shared folder.
 
-def stop_lookups(trx: DataFrame, stops: DataFrame, lines: DataFrame, config: Config = Config()) -> Lookups:
-    """Compute both lookups once and keep them as tables in the shared folder.
-
-    They grow with the area and not with the taps. As tables their size is known, so that the
-    planner broadcasts them below its threshold and shuffles them above.
+    It grows with the area and not with the taps. As a table its size is known, so that the
+    planner broadcasts it below its threshold and shuffles it above.
     """
-    places = settle(tap_places(trx, lines, config), "places")
-    return Lookups(settle(nearest.origin_lookup(places, stops, config), "origin"),
-                   settle(nearest.destination_lookup(places, stops, config), "destination"))
+    return settle(nearest.origin_lookup(tap_places(trx, lines, config), stops, config), "origin")
 
 
-def with_origins(trx: DataFrame, lines: DataFrame, lookups: Lookups, config: Config = Config()) -> Cards:
+def with_origins(trx: DataFrame, lines: DataFrame, origins: DataFrame, config: Config = Config()) -> Cards:
     """… with an origin stop, again without cards that have one tap."""
-    return ordered(trx, lines, config).map(nearest.impute_origin, lookups.origin, config).apply(
+    return ordered(trx, lines, config).map(nearest.impute_origin, origins, config).apply(
         clean.drop_singles, config.card_keys, cut=True)
 
 
-def with_next(trx: DataFrame, lines: DataFrame, lookups: Lookups, config: Config = Config()) -> Cards:
+def with_next(trx: DataFrame, lines: DataFrame, origins: DataFrame, config: Config = Config()) -> Cards:
     """… with the next tap."""
-    return with_origins(trx, lines, lookups, config).apply(destinations.next_trx, config.card_keys, cut=True)
+    return with_origins(trx, lines, origins, config).apply(destinations.next_trx, config.card_keys, cut=True)
+
 
+def with_destinations(trx: DataFrame, stops: DataFrame, lines: DataFrame, origins: DataFrame,
+                      config: Config = Config()) -> Cards:
+    """… with a destination stop.
 
-def with_destinations(trx: DataFrame, lines: DataFrame, lookups: Lookups, config: Config = Config()) -> Cards:
-    """… with a destination stop."""
-    return with_next(trx, lines, lookups, config).apply(
-        destinations.impute_destination, lookups.destination, config, config.card_keys, cut=True)
+    Only now is it known which places are asked for on which lines. So ordinary cards are settled
+    here, read for these pairs and then dealt out by card once more, for all that follows.
+    """
+    linked = with_next(trx, lines, origins, config)
+    linked = Cards(settle(linked.cold, "linked"), linked.hot)
+    lookup = settle(nearest.destination_lookup(destinations.asked_pairs(linked.union()), stops, config), "destination")
+    dealt = Cards(linked.cold.repartition(*config.card_keys), linked.hot)
+    return dealt.apply(destinations.impute_destination, lookup, config, config.card_keys, cut=True)
 
 
 def finished_stages(trx: DataFrame, stops: DataFrame, lines: DataFrame, config: Config = Config()) -> DataFrame:
-    lookups = stop_lookups(trx, stops, lines, config)
-    done = with_destinations(trx, lines, lookups, config).map(destinations.drop_checkouts)
+    origins = origin_table(trx, stops, lines, config)
+    done = with_destinations(trx, stops, lines, origins, config).map(destinations.drop_checkouts)
     return done.union().drop("next", "fila")
 
 
 def run(trx: DataFrame, stops: DataFrame, lines: DataFrame, config: Config = Config()) -> Result:
-    """Result tables. The stop lookups and the hot-card count run at once, the tables when they are
+    """Result tables. The chain up to the next tap and the stop lookups run at once, the tables when they are
     used. Each is a full plan of its own; to get all three, ``write_results`` computes the stages once."""
     stages = finished_stages(trx, stops, lines, config)
     return Result(stages, trips.build_trips(stages, config.card_keys),
