@@ -42,7 +42,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, exact); exact says that decoding gave the text again."""
     path = public_tokenizers.path(VOCABULARY)
-    both = bpe.decode(bpe.encode(docs, path, ids="ids"), path, ids="ids", text="decoded")
+    both = bpe.encode_and_decode(docs, path)
     return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
 

@@ -11,7 +11,7 @@ independent of each other, so repeated rows and clashing names need no rule; an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 from tripchain.llm.common import slices
 from tripchain.llm.vocabulary import Vocabulary, WordCache, split_words, vocabulary
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 
 def merge_rounds(v: Vocabulary, words: list[bytes]) -> list[bytes]:
     """Token ids of each word, as the bytes of 32-bit integers."""
@@ -82,10 +84,7 @@ def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """The documents with their token ids as an array column."""
-    schema = T.StructType([*(f for f in docs.schema if f.name != ids), T.StructField(ids, T.ArrayType(T.IntegerType()), True)])
-
+def _encoder(path: str, text: str, ids: str) -> Run:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, text):
             found = encode_texts(path, [t.decode() for t in texts])
@@ -93,14 +92,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
             column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
             kept = {name: part.column(i) for i, name in enumerate(part.schema.names) if name != ids}
             yield pa.RecordBatch.from_pydict(kept | {ids: column})
-
-    return docs.mapInArrow(run, schema)
+    return run
 
 
-def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """The documents with the text of their token ids; null ids give an empty text."""
-    schema = T.StructType([*(f for f in docs.schema if f.name != text), T.StructField(text, T.StringType(), True)])
-
+def _decoder(path: str, ids: str, text: str) -> Run:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         pieces = v.token_bytes
@@ -114,13 +109,32 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
                 said.append(b"".join(map(pieces.__getitem__, row.tolist())).decode("utf-8", "replace"))
             kept = {name: batch.column(i) for i, name in enumerate(batch.schema.names) if name != text}
             yield pa.RecordBatch.from_pydict(kept | {text: pa.array(said, pa.string())})
+    return run
+
+
+def _with(docs: DataFrame, **new: T.DataType) -> T.StructType:
+    return T.StructType([*(f for f in docs.schema if f.name not in new), *(T.StructField(name, kind, True) for name, kind in new.items())])
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """The documents with their token ids as an array column."""
+    return docs.mapInArrow(_encoder(path, text, ids), _with(docs, **{ids: T.ArrayType(T.IntegerType())}))
+
+
+def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """The documents with the text of their token ids; null ids give an empty text."""
+    return docs.mapInArrow(_decoder(path, ids, text), _with(docs, **{text: T.StringType()}))
+
 
-    return docs.mapInArrow(run, schema)
+def encode_and_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Both in one pass: a task has one Python worker, which holds a slice of texts at a time."""
+    there, back = _encoder(path, text, ids), _decoder(path, ids, decoded)
+    schema = _with(docs, **{ids: T.ArrayType(T.IntegerType()), decoded: T.StringType()})
+    return docs.mapInArrow(lambda batches: back(there(batches)), schema)
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document."""
-    tokens = encode(docs.select("doc_id", "text"), path).select("doc_id", "ids")
-    return decode(tokens, path).select(
+    return encode_and_decode(docs.select("doc_id", "text"), path).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))

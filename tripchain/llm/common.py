@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         texts = batch.column(batch.schema.get_field_index(column))
         if not batch.num_rows:
             continue
-        sizes = np.array([len(t) for t in _as_bytes(texts)], dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
         cut, held = 0, 0
         for i, size in enumerate(sizes):
             if held and held + size > most:
