@@ -11,7 +11,7 @@ independent of each other, so repeated rows and clashing names need no rule; an
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,11 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripchain.llm.common import slices
+from tripchain.llm.common import Run, slices, tidy
 from tripchain.llm.vocabulary import Vocabulary, WordCache, split_words, vocabulary
 
-Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
-
 
 def merge_rounds(v: Vocabulary, words: list[bytes]) -> list[bytes]:
     """Token ids of each word, as the bytes of 32-bit integers."""
@@ -118,19 +116,19 @@ def _with(docs: DataFrame, **new: T.DataType) -> T.StructType:
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """The documents with their token ids as an array column."""
-    return docs.mapInArrow(_encoder(path, text, ids), _with(docs, **{ids: T.ArrayType(T.IntegerType())}))
+    return docs.mapInArrow(tidy(_encoder(path, text, ids)), _with(docs, **{ids: T.ArrayType(T.IntegerType())}))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """The documents with the text of their token ids; null ids give an empty text."""
-    return docs.mapInArrow(_decoder(path, ids, text), _with(docs, **{text: T.StringType()}))
+    return docs.mapInArrow(tidy(_decoder(path, ids, text)), _with(docs, **{text: T.StringType()}))
 
 
 def encode_and_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Both in one pass: a task has one Python worker, which holds a slice of texts at a time."""
     there, back = _encoder(path, text, ids), _decoder(path, ids, decoded)
     schema = _with(docs, **{ids: T.ArrayType(T.IntegerType()), decoded: T.StringType()})
-    return docs.mapInArrow(lambda batches: back(there(batches)), schema)
+    return docs.mapInArrow(tidy(lambda batches: back(there(batches))), schema)
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

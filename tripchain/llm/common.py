@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,8 @@ from tripchain.session import scratch_path
 #: Texts of about this many bytes are worked on at once inside a task.
 SLICE_BYTES = 4 << 20
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -73,6 +75,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             held += int(size)
         part = batch.slice(cut)
         yield part, _as_bytes(part.column(batch.schema.get_field_index(column)))
+        del batch, texts, part
+        pa.default_memory_pool().release_unused()
+
+
+def tidy(run: Run) -> Run:
+    """The same work, after which the worker, which waits for another task, gives back the memory that Arrow keeps for reuse."""
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+    return tidied
 
 
 def _as_bytes(texts: pa.Array) -> list[bytes]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripchain.llm.common import slices
+from tripchain.llm.common import slices, tidy
 
 #: Benchmark text sent to the tasks at once.
 BLOCK_BYTES = 16 << 20
@@ -193,7 +193,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, extra: tuple[
     schema = found.schema
     for block in _blocks(benchmark, item_id, item_text):
         sent = spark.sparkContext.broadcast(block)
-        found = found.mapInArrow(_searcher(sent, n), schema)
+        found = found.mapInArrow(tidy(_searcher(sent, n)), schema)
     return found.select(*extra, F.col("_text").alias(text), "n_words", "spans", "items")
 
 
@@ -251,7 +251,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
             said = [cut_spans(t.encode(), [(s["first"], s["end"]) for s in x]).decode() if x else t for t, x in zip(texts, spans)]
             yield pa.RecordBatch.from_pydict({c: batch.column(i) for i, c in enumerate(others)} | {"text": pa.array(said, pa.string())})
 
-    out = found.mapInArrow(cut, found.drop("spans").schema)
+    out = found.mapInArrow(tidy(cut), found.drop("spans").schema)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(columns)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripchain.llm.common import slices
+from tripchain.llm.common import slices, tidy
 
 #: Bounds of the fitted part.
 PER_LABEL, COLUMNS, LATENT = 2048, 4096, 64
@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
     rows = rows.groupBy("id", "y").agg(F.min("text").alias("text")).select("id", "y", "text")
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(count, f"id {kind}, y int, columns array<long>, counts array<double>").collect()
+    found = rows.mapInArrow(tidy(count), f"id {kind}, y int, columns array<long>, counts array<double>").collect()
     return Model([(r["columns"], r["counts"], r["y"]) for r in sorted(found, key=lambda r: str(r["id"]))])
 
 
@@ -132,7 +132,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
             kept = {c: part.column(i) for i, c in enumerate(part.schema.names) if c != name}
             yield pa.RecordBatch.from_pydict(kept | {name: pa.array(found, pa.float64())})
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripchain.llm.common import Scratch, mix64, odd_powers, slices, text_key
+from tripchain.llm.common import Scratch, mix64, odd_powers, slices, text_key, tidy
 
 #: Words of a gram. Longer ones are rarer, shorter ones make fewer and longer spans.
 GRAM = 14
@@ -164,9 +164,9 @@ def shared_grams(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
             for blob in b.column(0).to_pylist():
                 yield from _pairs(np.frombuffer(blob, [("gram", "<u8"), ("tk", "V16")]))
 
-    listed = scratch.keep(docs.select(text_key(F.col("text")).alias("tk"), "text").mapInArrow(local, "bucket int, blob binary, found binary"), "grams")
-    met = listed.where("bucket >= 0").select("bucket", "blob").repartition(buckets, "bucket").select("blob").mapInArrow(meet, "tk binary, gram long")
-    here = listed.where("bucket < 0").select("found").mapInArrow(spread, "tk binary, gram long")
+    listed = scratch.keep(docs.select(text_key(F.col("text")).alias("tk"), "text").mapInArrow(tidy(local), "bucket int, blob binary, found binary"), "grams")
+    met = listed.where("bucket >= 0").select("bucket", "blob").repartition(buckets, "bucket").select("blob").mapInArrow(tidy(meet), "tk binary, gram long")
+    here = listed.where("bucket < 0").select("found").mapInArrow(tidy(spread), "tk binary, gram long")
     pairs = scratch.keep(met.unionByName(here), "shared")
     hot = pairs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("gram", F.lit(True).alias("hot"))
     return pairs.join(hot, "gram", "left").select("tk", "gram", F.coalesce("hot", F.lit(False)).alias("hot"))
@@ -219,7 +219,7 @@ def cut_spans(texts: DataFrame, window: int) -> DataFrame:
                 "tk": pa.array([tks[i] for i in home.tolist()], pa.binary()), "start": pa.array(first - words.first[home], pa.int32()),
                 "gram": pa.array(gram.view(np.int64)), "span": pa.array(spans, pa.binary()).cast(pa.string())})
 
-    return texts.mapInArrow(run, "tk binary, start int, gram long, span string")
+    return texts.mapInArrow(tidy(run), "tk binary, start int, gram long, span string")
 
 
 def repeated_windows(spans: list[list[bytes]], times: np.ndarray, window: int) -> np.ndarray:
@@ -279,7 +279,7 @@ def find_repeats(counted: DataFrame, window: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    return counted.mapInArrow(run, "gram long, sid binary, ranges array<int>")
+    return counted.mapInArrow(tidy(run), "gram long, sid binary, ranges array<int>")
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
@@ -319,7 +319,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, scratch: Scratch | None =
             yield pa.RecordBatch.from_pydict({"tk": part.column(0), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
                                               "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
-    return texts.join(told, "tk", "left").select("tk", "text", "n", "ranges").mapInArrow(cut, "tk binary, n_words long, n_removed long, kept string")
+    return texts.join(told, "tk", "left").select("tk", "text", "n", "ranges").mapInArrow(tidy(cut), "tk binary, n_words long, n_removed long, kept string")
 
 
 def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:

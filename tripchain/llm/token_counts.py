@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripchain.llm.common import mix64, slices
+from tripchain.llm.common import mix64, slices, tidy
 from tripchain.llm.vocabulary import Vocabulary, WordCache, split_words, vocabulary
 
 
@@ -211,4 +211,4 @@ def count_tokens(docs: DataFrame, path: str, budget: int = 512) -> DataFrame:
 
     rows = docs.select("doc_id", "text")
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, kept_chars long"
-    return rows.mapInArrow(run, schema).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > budget).alias("over_limit"), "kept_chars")
+    return rows.mapInArrow(tidy(run), schema).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > budget).alias("over_limit"), "kept_chars")
