@@ -15,14 +15,14 @@ windows; an item with a null id is left out; items that share an id count once;
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripchain.llm.common import slices, tidy
+from tripchain.llm.common import Run, slices, tidy
 
 #: Benchmark text sent to the tasks at once.
 BLOCK_BYTES = 16 << 20
@@ -181,23 +181,33 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tupl
     yield block
 
 
+def _search(docs: DataFrame, benchmark: DataFrame, n: int, extra: list[str], text: str, item_id: str, item_text: str) -> tuple[DataFrame, Run]:
+    """What a search reads, with the extra columns by number, and the search through all blocks of the benchmark in one Python pass."""
+    sc = docs.sparkSession.sparkContext
+    rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(extra)], F.col(text).alias("_text"),
+                       F.lit(None).cast("array<struct<first:long,end:long>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"),
+                       F.lit(0).cast("long").alias("n_words"))
+    blocks = [_searcher(sc.broadcast(block), n) for block in _blocks(benchmark, item_id, item_text)]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in blocks:
+            batches = one(batches)
+        return batches
+    return rows, search
+
+
 def find_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, extra: tuple[str, ...] = (), text: str = "text",
                item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The ``extra`` columns of every document with n_words, spans (array of [first, end) word numbers, merged) and items (sorted ids).
 
-    A benchmark of more than one block adds a pass over the documents' spans for each further block.
+    A benchmark of more than one block adds a search of the same texts for each further block.
     """
-    spark = docs.sparkSession
-    found = docs.select(*[F.col(c) for c in extra], F.col(text).alias("_text"), F.lit(None).cast("array<struct<first:long,end:long>>").alias("spans"),
-                        F.lit(None).cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"))
-    schema = found.schema
-    for block in _blocks(benchmark, item_id, item_text):
-        sent = spark.sparkContext.broadcast(block)
-        found = found.mapInArrow(tidy(_searcher(sent, n)), schema)
-    return found.select(*extra, F.col("_text").alias(text), "n_words", "spans", "items")
+    rows, search = _search(docs, benchmark, n, list(extra), text, item_id, item_text)
+    found = rows.mapInArrow(tidy(search), rows.schema)
+    return found.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(extra)], F.col("_text").alias(text), "n_words", "spans", "items")
 
 
-def _searcher(sent, n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _searcher(sent, n: int) -> Run:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(sent.value, n)
         names = np.array(phrases.items, dtype=object)
@@ -242,16 +252,17 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """The documents with the merged spans cut out of their texts; other texts stay as they are."""
     columns = docs.columns
-    others = tuple(c for c in columns if c != "text")
-    found = find_spans(docs, benchmark, n, extra=others).select(*others, "text", "spans")
+    others = [c for c in columns if c != "text"]
+    rows, search = _search(docs, benchmark, n, others, "text", "item_id", "text")
+    kept = [f"_{i}" for i in range(len(others))] + ["_text"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, spans = batch.column(len(others)).to_pylist(), batch.column(len(others) + 1).to_pylist()
+        for batch in search(batches):
+            texts, spans = batch.column("_text").to_pylist(), batch.column("spans").to_pylist()
             said = [cut_spans(t.encode(), [(s["first"], s["end"]) for s in x]).decode() if x else t for t, x in zip(texts, spans)]
-            yield pa.RecordBatch.from_pydict({c: batch.column(i) for i, c in enumerate(others)} | {"text": pa.array(said, pa.string())})
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(said, pa.string())], names=kept)
 
-    out = found.mapInArrow(tidy(cut), found.drop("spans").schema)
+    out = rows.mapInArrow(tidy(cut), rows.select(kept).schema).toDF(*others, "text")
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(columns)
