@@ -107,6 +107,17 @@ def test_jaccard(docs, corpus, monkeypatch, block):
     assert left == sorted({c for d, n, c in components_by_hand(corpus) if n} | set(wordless))
 
 
+def test_jaccard_keeps_links_on_passages_that_one_task_has_often(spark):
+    """Two stock paragraphs, alone and in 40 pages of one task, and in one page of another task."""
+    one, two = ([f"{p}{i}" for i in range(54)] for p in "pq")
+    page = lambda i: " ".join([*one, f"own{i}", *two, *(f"own{i}x{j}" for j in range(5))])
+    here = [" ".join(one), " ".join(two), *map(page, range(40))]
+    texts = here + [page(40)] + [" ".join(f"f{i}x{j}" for j in range(9)) for i in range(41)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard.join_documents(docs).collect()) == sorted(components_by_hand(rows))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (101, 100)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
