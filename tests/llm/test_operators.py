@@ -118,6 +118,13 @@ def test_jaccard_keeps_links_on_passages_that_one_task_has_often(spark):
     assert sorted(tuple(r) for r in jaccard.join_documents(docs).collect()) == sorted(components_by_hand(rows))
 
 
+def test_jaccard_links_very_long_texts_of_unequal_length(spark):
+    base = " ".join(f"w{i}" for i in range(60000))
+    rows = [*enumerate([base] * 4), (4, base + " " + " ".join(f"v{i}" for i in range(14000)))]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), "doc_id long, text string")
+    assert {r["component_id"] for r in jaccard.join_documents(docs).collect()} == {0}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (101, 100)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
