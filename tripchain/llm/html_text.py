@@ -7,7 +7,7 @@ text is the outermost ``article`` or ``main`` element that holds the marked node
 without one it is the marked node and those of its siblings, on each level of the path, that are headings or reach the threshold.
 
 Elements that are never article text are not put into the tree: by tag (scripts, styles, menus, footers, forms, ...), by role, by the words in
-class and id, and hidden ones. Character references are decoded, white space inside a block becomes one space, blocks are joined by one.
+class and id, and hidden ones. Such an element ends like any other, also where its end tag is omitted. Character references are decoded, white space inside a block becomes one space, blocks are joined by one.
 
 Defined cases: null and empty pages have an empty text; broken markup ends where the page ends, and an end tag without a start is passed over;
 a page without elements is its own text; pages are independent of each other, so repeated rows stay; an empty table stays empty; whole pages are read.
@@ -31,7 +31,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
 NEVER = frozenset("head title script style noscript template nav footer aside form button select option textarea input iframe svg canvas object audio video dialog menu".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-SAME_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_CELLS, _ROWS = ({"td", "th"},), ({"td", "th"}, {"tr"})
+_PARTS = (*_ROWS, {"tbody", "thead", "tfoot"})
+# What a start tag ends, one after the other.
+SAME_END = {"li": ({"li"},), "dt": ({"dt", "dd"},), "dd": ({"dt", "dd"},), "tr": _ROWS, "td": _CELLS, "th": _CELLS, "option": ({"option"},),
+            "tbody": _PARTS, "thead": _PARTS, "tfoot": _PARTS}
+IN_HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
+# Tags inside these end nothing outside; these go on inside a block that ends the paragraph round them.
+SEALED = frozenset("title textarea template iframe noscript select object svg canvas audio video script style".split())
+FORMATTING = frozenset("a b big code em font i s small strike strong tt u".split())
 HOLDS = frozenset("ul ol dl table tbody thead tfoot tr article section div body main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -56,23 +64,30 @@ class PageTree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.node = Node("body", None)
+        # Of the open elements, those from place ``skipped`` on are not in the tree.
         self.open: list[tuple[str, Node]] = []
-        self.skipped = ""
-        self.depth = self.links = 0
+        self.skipped: int | None = None
+        self.links = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if self.skipped:
-            self.depth += tag == self.skipped and tag not in VOID
-            return
+        if self.skipped is not None and self.open[self.skipped][0] == "head" and tag not in IN_HEAD:
+            self._close({"head"}, SEALED)
         if tag in CLOSES_P:
-            self._close({"p"}, {"table", "button"})
+            around = self.skipped is not None and self.open[self.skipped][0] in FORMATTING
+            self._close({"p"}, {"table", "button", *SEALED}, self.skipped if around else 0)
         elif tag in SAME_END:
-            self._close(SAME_END[tag], {"ul", "ol", "dl", "table", "select"})
+            for ended in SAME_END[tag]:
+                self._close(ended, {"ul", "ol", "dl", "table", *SEALED})
         if tag in ("html", "body"):
             return
+        if self.skipped is not None:
+            if tag not in VOID:
+                self.open.append((tag, self.node))
+            return
         if tag in NEVER or self._around(tag, dict(attrs)):
             if tag not in VOID:
-                self.skipped, self.depth = tag, 1
+                self.skipped = len(self.open)
+                self.open.append((tag, self.node))
             return
         if tag in INLINE:
             self.node.tags += 1
@@ -92,31 +107,38 @@ class PageTree(HTMLParser):
         self.open.append((tag, child))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        # A slash at the end means nothing in HTML, but for elements that end at once anyway.
+        # A slash at the end means nothing in HTML, but for elements that end at once anyway, and for drawings and what is in them.
+        if tag == "svg" or any(name == "svg" for name, _ in self.open):
+            return
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if self.skipped:
-            self.depth -= tag == self.skipped
-            if not self.depth:
-                self.skipped = ""
-        elif tag == "br":
-            self.node.parts.append("\n")
+        if tag == "br":
+            if self.skipped is None:
+                self.node.parts.append("\n")
         elif tag not in ("html", "body"):
-            self._close({tag}, set() if tag in HOLDS else HOLDS)
+            if self.skipped is not None and tag == self.open[self.skipped][0]:
+                self._close({tag}, set())
+            else:
+                self._close({tag}, SEALED if tag in HOLDS else HOLDS | SEALED)
 
     def handle_data(self, data: str) -> None:
-        if not self.skipped:
+        if self.skipped is not None and self.open[-1][0] == "head" and data.strip():
+            self._close({"head"}, set())
+        if self.skipped is None:
             self.node.parts.append(data)
             if self.links:
                 self.node.link_chars += len(data)
 
-    def _close(self, tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
+    def _close(self, tags: set[str] | frozenset[str], stop: set[str] | frozenset[str], least: int = 0) -> None:
+        """End the innermost open element of ``tags`` and all in it, if none of ``stop`` and not place ``least`` comes first."""
+        for i in range(len(self.open) - 1, least - 1, -1):
             if self.open[i][0] in tags:
-                for name, _ in self.open[i:]:
+                for name, _ in self.open[i : self.skipped]:
                     self.links -= name == "a"
                 del self.open[i:]
+                if self.skipped is not None and i <= self.skipped:
+                    self.skipped = None
                 self.node = next((n for name, n in reversed(self.open) if name not in INLINE), self.root)
                 return
             if self.open[i][0] in stop:
