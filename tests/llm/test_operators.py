@@ -280,6 +280,23 @@ def test_ann(spark):
     assert ann.search(few.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_ann_opens_more_lists_where_few_do_not_find_enough(spark, monkeypatch):
+    """Many small lists stand for a large table: 64 of 1,500 find about three quarters."""
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((6000, 64))
+    index = ann.Index(ann.balanced_centroids(vectors[:1500], 94))
+    near = np.argsort(ann.squares(vectors[:60], vectors), axis=1)[:, 1:11]
+    index.opened = 4
+    known = vectors[:60], np.repeat(np.arange(60), 10), vectors[near.ravel()]
+    assert index.recall(*known) < 0.9
+    index.widen(*known)
+    assert index.recall(*known) >= ann.RECALL
+    monkeypatch.setattr(ann, "LIST_ROWS", 4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") < 60).toPandas()
+    assert sum(len(set(near[q]) & set(own["vec_id"])) for q, own in got.groupby("query_id")) >= 0.9 * 600
+
+
 def test_empty_tables(spark, none):
     benchmark = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.report(none, benchmark).count() == 0

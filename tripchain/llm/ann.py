@@ -2,8 +2,9 @@
 
 Centroids are fitted by balanced halving on a bounded sample: at most ``MAX_LISTS`` of them on at most ``SAMPLE_PER_LIST`` rows each. Every
 vector is then indexed: it goes to its nearest list and, near a border, to up to ``REPLICAS`` lists in all. A query walks a
-graph over the centroids, held in memory, and opens the lists whose centroid is within ``RATIO`` times the distance of the nearest.
-Lists are read in blocks of bounded size, so a heavy list is many tasks. Distances are computed on the original vectors.
+graph over the centroids, held in memory, and opens the lists whose centroid is within a ratio of the distance of the nearest.
+How many and how far is measured on every input: ``TRIED`` query vectors are compared with all rows, and from ``PROBES`` and ``RATIO`` on both are
+doubled until ``RECALL`` of what they should find lies in opened lists, at the end all lists. Lists are read in blocks of bounded size, so a heavy list is many tasks. Distances are computed on the original vectors.
 
 Of vectors that are equal in all components only the k+1 smallest ids can ever be in an answer, as ties go to the smaller id; only those
 are listed. Equal query vectors are searched once. A query whose lists hold too few vectors is searched in all lists.
@@ -26,7 +27,10 @@ from tripchain.llm.common import Scratch
 MAX_LISTS, SAMPLE_PER_LIST = 4096, 16
 LIST_ROWS = 64
 REPLICAS, REPLICA_RATIO = 6, 1.25
-RATIO, MAX_PROBES = 1.6, 64
+#: Lists that a query opens at first, and how much farther than the nearest they may be.
+RATIO, PROBES = 1.6, 64
+#: Query vectors whose answers are counted, and the share of their neighbours to be found: over the wanted 0.9 by more than the count's error.
+TRIED, RECALL = 256, 0.95
 BLOCK_ROWS = 8192
 DEGREE = 16
 
@@ -117,10 +121,11 @@ class CentroidGraph:
 
 
 class Index:
-    """The fitted part that every task gets: centroids and their graph, bounded by MAX_LISTS."""
+    """The fitted part that every task gets: centroids and their graph, bounded by MAX_LISTS, and how far a query goes."""
 
     def __init__(self, centroids: np.ndarray):
         self.centroids, self.graph = centroids, CentroidGraph(centroids)
+        self.opened, self.ratio = PROBES, RATIO
 
     def lists_of(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(vector, list) pairs: the nearest list, and further ones near a border that no nearer chosen list covers."""
@@ -137,10 +142,37 @@ class Index:
         return row, near[row, at]
 
     def probes(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        near, far = self.graph.nearest(vectors, min(MAX_PROBES, len(self.centroids)))
-        row, at = np.nonzero((near >= 0) & (np.sqrt(far) <= RATIO * np.sqrt(far[:, :1]) + 1e-12))
+        if self.opened <= PROBES and self.ratio < np.inf:
+            near, far = self.graph.nearest(vectors, min(self.opened, len(self.centroids)))
+        else:
+            # For many lists it is cheaper to rank all centroids than to walk the graph.
+            far = squares(vectors, self.centroids)
+            near = np.argsort(far, axis=1, kind="stable")[:, : self.opened]
+            far = np.take_along_axis(far, near, 1)
+        reach = self.ratio * np.sqrt(far[:, :1]) + 1e-12 if self.ratio < np.inf else np.inf
+        row, at = np.nonzero((near >= 0) & (np.sqrt(far) <= reach))
         return row, near[row, at]
 
+    def recall(self, queries: np.ndarray, row: np.ndarray, neighbours: np.ndarray) -> float:
+        """The share of ``neighbours``, each one of query ``row``, that lie in a list which the query opens."""
+        opens = np.zeros((len(queries), len(self.centroids)), bool)
+        for i in range(0, len(queries), 1024):
+            at, lists = self.probes(queries[i : i + 1024])
+            opens[i + at, lists] = True
+        found = np.zeros(len(neighbours), bool)
+        for i in range(0, len(neighbours), 1024):
+            at, lists = self.lists_of(neighbours[i : i + 1024])
+            np.logical_or.at(found, i + at, opens[row[i + at], lists])
+        return float(found.mean()) if len(found) else 1.0
+
+    def widen(self, queries: np.ndarray, row: np.ndarray, neighbours: np.ndarray) -> None:
+        """Open more lists, and farther ones, until enough of the known neighbours are found."""
+        while self.ratio < np.inf and self.recall(queries, row, neighbours) < RECALL:
+            if self.opened >= len(self.centroids):
+                self.ratio = np.inf
+            else:
+                self.opened, self.ratio = 2 * self.opened, 2 * self.ratio - 1
+
 
 def _spread(index: Index, rows: DataFrame, which: str) -> DataFrame:
     """(list, vec_id, embedding): a row for each list that a vector is in, or that a query opens."""
@@ -204,6 +236,32 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", place).where(F.col("rank") <= k)
 
 
+def neighbours_of(tried: pd.DataFrame, rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(queries, query, neighbour): the vectors of the k nearest of all rows for a few queries, without the query's own row."""
+    queries, own = np.array(tried["embedding"].tolist(), np.float64), tried["vec_id"].to_numpy()
+
+    def run(batches):
+        ids, vectors = np.empty(0, np.int64), np.empty((0, queries.shape[1]))
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            ids = np.concatenate([ids, pdf["vec_id"].to_numpy()])
+            vectors = np.concatenate([vectors, np.array(pdf["embedding"].tolist(), np.float64)])
+            kept = np.isin(ids, nearest_in(queries, vectors, ids, k + 1)[1])
+            ids, vectors = ids[kept], vectors[kept]
+        if len(ids):
+            row, found, score = nearest_in(queries, vectors, ids, k + 1)
+            at = np.argsort(ids)
+            yield pd.DataFrame({"query_id": row, "vec_id": found, "score": score, "embedding": vectors[at[np.searchsorted(ids[at], found)]].tolist()})
+
+    found = rows.mapInPandas(run, "query_id long, vec_id long, score double, embedding array<double>")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    best = found.withColumn("rank", place).where(F.col("rank") <= k + 1).select("query_id", "vec_id", "embedding").toPandas()
+    row = best["query_id"].to_numpy()
+    other = best["vec_id"].to_numpy() != own[row]
+    return queries, row[other], np.array(best["embedding"].tolist(), np.float64).reshape(-1, queries.shape[1])[other]
+
+
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     whole = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding")).where(
         F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()
@@ -228,6 +286,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec
     listed = rows.withColumn("place", F.row_number().over(same)).where(F.col("place") <= k + 1).drop("place")
     postings = scratch.keep(_spread(index, listed, "lists_of"), "ann-lists")
     twins = scratch.keep(rows.where(is_query).groupBy("embedding").agg(F.min("vec_id").alias("vec_id")), "ann-queries")
+    tried = twins.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRIED).toPandas()
+    if len(tried):
+        index.widen(*neighbours_of(tried, listed, k))
     found = scratch.keep(_top(_search(scratch.keep(_spread(index, twins, "probes"), "ann-probes"), postings, k + 1), k + 1), "ann-found")
     short = twins.join(found.groupBy("query_id").count(), F.col("query_id") == F.col("vec_id"), "left").where(
         F.coalesce("count", F.lit(0)) < min(k + 1, n)).select("vec_id", "embedding")
