@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripchain.llm import ann, bpe, chat, decontaminate, html_text, jaccard, quality, sharding, substrings, token_counts
+from tripchain.llm import (
+    ann, bpe, chat, decontaminate, html_text, jaccard, merkle, quality, sharding, substrings, token_counts)
 from tripchain.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -63,9 +64,14 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {q.__name__: q for q in (
-        op1_decontaminate, op2_quality, op3_html_text, op4_bpe, op5_shards, op6_jaccard, op7_substrings, op8_chat, op9_token_counts, op10_ann)}
+        op1_decontaminate, op2_quality, op3_html_text, op4_bpe, op5_shards, op6_jaccard, op7_substrings, op8_chat, op9_token_counts, op10_ann,
+        op11_merkle)}
 
 
 _LT = r"(<)(\\*)(\|im_(?:start|sep|end)\|>|/?s>|</?SYS>>)"
@@ -122,5 +128,53 @@ FROM d LEFT JOIN counted USING (r) LEFT JOIN named USING (r)
 """
 
 
+def _leaf_sql(text: str) -> str:
+    values = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+
+def _grown_sql(name: str, leaves: str) -> str:
+    """A tree for each ``grp`` of ``leaves`` (grp, pos, node, size), every node with its run."""
+    return f"""{name}(grp, lvl, pos, node, size) AS (
+  SELECT grp, 0, pos, node, size FROM {leaves}
+  UNION ALL
+  SELECT grp, any_value(lvl) + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (any_value(size) + 2) // 3
+  FROM {name} WHERE size > 1 GROUP BY grp, pos // 3
+), {name}_steps AS (
+  SELECT a.grp, a.lvl, a.pos, string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos < a.pos) AS l,
+         string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos > a.pos) AS r
+  FROM {name} a JOIN {name} b ON b.grp = a.grp AND b.lvl = a.lvl AND b.pos // 3 = a.pos // 3 WHERE a.size > 1 GROUP BY ALL
+)"""
+
+
+# The CRC is computed bit by bit over the digits.
+_MERKLE_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || source, '-') AS grp, {_leaf_sql('text')} AS node, {_leaf_sql("replace(text, chr(10), '')")} AS cut,
+         xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda crc, b:
+             list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda v, i: CASE WHEN (v & 1) = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(crc, b)),
+             4294967295::BIGINT)) AS crc
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, node) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS size FROM d
+), {_grown_sql('low', 'placed')}, heads AS (
+  SELECT '' AS grp, grp AS name, node, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS size FROM low WHERE size = 1
+), {_grown_sql('high', 'heads')}, path AS (
+  SELECT p.grp, p.pos, s.lvl, s.l, s.r FROM placed p JOIN low_steps s ON s.grp = p.grp AND s.pos = p.pos // (3 ** s.lvl)::BIGINT
+  UNION ALL
+  SELECT p.grp, p.pos, 100 + s.lvl, s.l, s.r FROM placed p JOIN heads h ON h.name = p.grp JOIN high_steps s ON s.pos = h.pos // (3 ** s.lvl)::BIGINT
+), proof AS (
+  SELECT grp, pos, list({{'l': coalesce(l, ''), 'r': coalesce(r, '')}} ORDER BY lvl) AS steps,
+         string_agg(coalesce(l, '') || coalesce(r, ''), '' ORDER BY lvl) AS beside FROM path GROUP BY ALL
+), told AS (
+  SELECT p.doc_id, p.node AS leaf, h.node AS subroot, (SELECT node FROM high WHERE size = 1) AS root, coalesce(f.beside, '') AS beside,
+         list_reduce(coalesce(f.steps, []), lambda a, s: {{'l': sha256(s.l || a.l || s.r), 'r': ''}},
+                     {{'l': CASE WHEN p.crc % 2 = 0 THEN p.cut ELSE p.node END, 'r': ''}}).l AS folded
+  FROM placed p JOIN heads h ON h.name = p.grp LEFT JOIN proof f ON f.grp = p.grp AND f.pos = p.pos
+)
+SELECT doc_id, leaf, subroot, root, sha256(beside) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM told
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": _DECONTAMINATE_SQL, "op8_chat": _CHAT_SQL}
+    return {"op1_decontaminate": _DECONTAMINATE_SQL, "op8_chat": _CHAT_SQL, "op11_merkle": _MERKLE_SQL}
