@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripchain.llm import (
-    ann, bpe, chat, decontaminate, html_text, jaccard, merkle, quality, sharding, substrings, token_counts)
+    ann, bpe, centroids, chat, decontaminate, html_text, jaccard, merkle, quality, sharding, simhash, substrings, token_counts)
 from tripchain.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -68,10 +68,18 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(table(spark, sf_dir, "documents"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {q.__name__: q for q in (
         op1_decontaminate, op2_quality, op3_html_text, op4_bpe, op5_shards, op6_jaccard, op7_substrings, op8_chat, op9_token_counts, op10_ann,
-        op11_merkle)}
+        op11_merkle, op12_simhash, op13_centroids)}
 
 
 _LT = r"(<)(\\*)(\|im_(?:start|sep|end)\|>|/?s>|</?SYS>>)"
@@ -176,5 +184,36 @@ SELECT doc_id, leaf, subroot, root, sha256(beside) AS proof_sha256, folded AS fo
 """
 
 
+def _clusters_sql(rounds: int) -> str:
+    """Rounds one after the other, every vector against every centroid; c0, c1 … are the centroids after so many rounds."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS (
+  SELECT n, any_value(vec_id) AS vec_id, any_value(x) AS x, min({{'d': d, 'c': c}}) AS best
+  FROM (SELECT v.n, v.vec_id, v.x, k.c, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - k.x[i]) * (v.x[i] - k.x[i])))::BIGINT AS d
+        FROM v, c{i} k) GROUP BY n
+)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (
+  SELECT c, list(m ORDER BY i) AS x FROM (
+    SELECT best.c AS c, i, ((sum(x[i]) - ((sum(x[i]) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS m
+    FROM a{i}, range(1, 65) r(i) GROUP BY ALL) GROUP BY c
+), c{i + 1} AS (SELECT k.c, coalesce(m.x, k.x) AS x FROM c{i} k LEFT JOIN m{i} m ON m.c = k.c)""")
+    return ",\n".join(steps)
+
+
+_CENTROIDS_SQL = f"""
+WITH v AS (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, x) - 1 AS c, x FROM v ORDER BY sha256('1:' || vec_id) NULLS LAST, x LIMIT 16
+), {_clusters_sql(3)}
+SELECT vec_id, best.c::INTEGER AS cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY best.c)::BIGINT AS cluster_inertia,
+       sum(best.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(k.x, ',')) AS centroid_sha256
+FROM a3 JOIN c3 k ON k.c = best.c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": _DECONTAMINATE_SQL, "op8_chat": _CHAT_SQL, "op11_merkle": _MERKLE_SQL}
+    return {"op1_decontaminate": _DECONTAMINATE_SQL, "op8_chat": _CHAT_SQL, "op11_merkle": _MERKLE_SQL, "op13_centroids": _CENTROIDS_SQL}
