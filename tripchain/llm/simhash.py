@@ -1,13 +1,14 @@
 """SimHash near duplicates: fingerprints of 64 bits, linked at ``NEAR`` or fewer differing bits, by an index in Gray order.
 
-Distinct fingerprints are sorted by their rank in the Gray code, where neighbours share most bits, and cut into blocks, one to a part of the
-sort. A block's index is a tree over runs of ``FAN`` neighbours: an upper node holds, as mask and value, the bits that all below it share and that no
+Distinct fingerprints are numbered in the order of their rank in the Gray code, where neighbours share most bits, and cut into blocks. A block's index is a
+tree over runs of ``FAN`` neighbours: an upper node holds, as mask and value, the bits that all below it share and that no
 node above holds already. A search adds up differences on the way down and leaves a node, with all below it, as soon as they
 exceed ``NEAR``. The blocks' roots are the leaves of one more such tree, which every task holds (at most ``MOST_BLOCKS`` roots): through it a
-fingerprint is sent to the later blocks that can hold something near it, so a pair is met once. What is sent to a block is dealt out in
-turns of bounded size. A turn gives the links that join its fingerprints to components, fewer than it has fingerprints, and never its pairs.
+fingerprint is sent to the later blocks that can hold something near it, so a pair is met once. A fingerprint goes to about
+(l * l + l) / 4 of 2^l blocks, so blocks are as large as a task may well hold, and what a block is asked for, by its own fingerprints and others, is dealt out in turns of
+bounded size, each with a copy of the block. A turn gives the links that join its fingerprints to components, fewer than there are fingerprints in it, and never its pairs.
 
-Memory of a task: a block (distinct fingerprints / MOST_BLOCKS, ``BLOCK`` at least, 16 bytes each and half as much for the tree)
+Memory of a task: a block (``BLOCK`` fingerprints, or all / MOST_BLOCKS if that is more, 16 bytes each and half as much for the tree)
 and one turn.
 
 Defined cases: a null text, an empty one and one without words have the fingerprint zero, which links like any other; of fewer than
@@ -28,15 +29,16 @@ from pyspark.sql import functions as F
 
 from tripchain.llm.common import Scratch, slices, tidy
 from tripchain.llm.components import components
+from tripchain.llm.sharding import in_order, numbered
 
 #: Fixed values of the fingerprint: words to a shingle and the seed of its hash.
 SHINGLE, SEED = 3, 42
 #: Differing bits up to which fingerprints link.
 NEAR = 2
 #: Children of a node; fingerprints to a block, unless there would be more blocks than the second number.
-FAN, BLOCK, MOST_BLOCKS = 8, 1 << 14, 4096
-#: Fingerprints that are sent to a block together, and those that walk the tree together.
-TURN, WALK = 1 << 18, 1 << 10
+FAN, BLOCK, MOST_BLOCKS = 8, 1 << 20, 4096
+#: Least fingerprints to a turn, the share of a block that a turn has otherwise, and those that walk the tree together.
+TURN, SHARE, WALK = 1 << 15, 8, 1 << 10
 #: Hashes whose bits are counted at once.
 COUNTED = 1 << 16
 #: Parts of a class in the join that gives rows their component.
@@ -143,60 +145,63 @@ def joined_up(top: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             top = up
 
 
-def links_in(block: np.ndarray, visitors: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join up the block's fingerprints and visitors near to one another: fewer than there are. ``own`` searches the block's too."""
+def links_in(block: np.ndarray, asked: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join up ``asked`` and what is near to them in the block: fewer than there are fingerprints. ``places`` are those of
+    the block's own, which look behind themselves only, and -1 for others."""
     tree = GrayTree(np.full(len(block), ~np.uint64(0)), block)
-    asked = np.concatenate([block, visitors]) if own else visitors
-    first = 0 if own else len(block)
-    after = np.concatenate([np.arange(len(block)), np.full(len(visitors), -1)])[first:]
-    top = np.arange(len(block) + len(visitors))
+    own = np.where(places >= 0, places, len(block) + np.arange(len(asked)))
+    top = np.arange(len(block) + len(asked))
     for i in range(0, len(asked), WALK):
-        at, leaf = tree.near(asked[i : i + WALK], after[i : i + WALK])
-        top = joined_up(top, first + i + at, leaf)
-    names = np.concatenate([block, visitors])
+        at, leaf = tree.near(asked[i : i + WALK], places[i : i + WALK])
+        top = joined_up(top, own[i + at], leaf)
+    names = np.concatenate([block, asked])
     moved = np.flatnonzero(top != np.arange(len(top)))
     return names[moved], names[top[moved]]
 
 
-def _visits(rows: DataFrame, roots: GrayTree, parts: np.ndarray) -> DataFrame:
-    """(part, fp): each fingerprint at the later blocks that may hold something near it; ``parts`` are the blocks' numbers."""
+def _visits(rows: DataFrame, roots: GrayTree) -> DataFrame:
+    """(block, fp): each fingerprint at the later blocks that may hold something near it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps, own = (batch.column(i).to_numpy() for i in range(2))
             for i in range(0, len(fps), WALK):
-                at, found = roots.near(fps[i : i + WALK].view(np.uint64), np.searchsorted(parts, own[i : i + WALK]))
-                yield pa.RecordBatch.from_arrays([pa.array(parts[found]), pa.array(fps[i : i + WALK][at])], ["part", "fp"])
+                at, found = roots.near(fps[i : i + WALK].view(np.uint64), own[i : i + WALK])
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(fps[i : i + WALK][at])], ["block", "fp"])
 
-    return rows.select("fp", "part").mapInArrow(tidy(run), "part int, fp long")
+    return rows.select("fp", "block").mapInArrow(tidy(run), "block long, fp long")
 
 
 def links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): links between different fingerprints (column ``fp``) that join up all near ones."""
     spark = distinct.sparkSession
     n = distinct.count()
-    blocks = max(1, -(-n // max(BLOCK, -(-n // MOST_BLOCKS))))
-    rank = gray_rank(F.col("fp"))
-    ordered = scratch.keep(
-        distinct.select("fp").repartitionByRange(blocks, rank).withColumns({"part": F.spark_partition_id(), "rank": rank}), "simhash-order")
-    found = ordered.groupBy("part").agg(F.bit_and("fp").alias("all"), F.bit_or("fp").alias("any")).orderBy("part").toPandas()  # a row for each block
-    if found.empty:
+    if not n:
         return spark.createDataFrame([], "a long, b long")
-    parts = found["part"].to_numpy(np.int32)
-    every, some = (found[c].to_numpy(np.int64).view(np.uint64) for c in ("all", "any"))
-    visits = scratch.keep(_visits(ordered, GrayTree(~(every ^ some), every), parts), "simhash-visits")
-    sizes = {r["part"]: r["count"] for r in visits.groupBy("part").count().collect()}
-    turns = spark.createDataFrame([(int(p), max(1, -(-sizes.get(int(p), 0) // TURN))) for p in parts], "part int, turns int")  # a row for each block
-    dealt = visits.join(F.broadcast(turns), "part").select("part", F.pmod(F.xxhash64("fp"), "turns").cast("int").alias("turn"), "fp")
-    copies = ordered.join(F.broadcast(turns), "part").select("part", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "fp", "rank")
-
-    def run(key: tuple, block: pd.DataFrame, visitors: pd.DataFrame) -> pd.DataFrame:
-        if block.empty:
-            return pd.DataFrame({"a": [], "b": []})
-        held = block["fp"].to_numpy()[np.argsort(block["rank"].to_numpy())].view(np.uint64)
-        a, b = links_in(held, visitors["fp"].to_numpy(np.int64).view(np.uint64), own=key[1] == 0)
+    size = max(BLOCK, -(-n // MOST_BLOCKS))
+    ranked = in_order(distinct.select("fp", F.lit(0).alias("all")), scratch, "simhash-order", gray_rank(F.col("fp")))
+    placed = scratch.keep(numbered(ranked, "all").select(
+        "fp", F.expr(f"number div {size}").alias("block"), (F.col("number") % size).alias("place")), "simhash-places")
+    asked = placed
+    if n > size:
+        found = placed.groupBy("block").agg(F.bit_and("fp").alias("all"), F.bit_or("fp").alias("any")).orderBy("block").toPandas()  # a row for each block
+        every, some = (found[c].to_numpy(np.int64).view(np.uint64) for c in ("all", "any"))
+        visits = _visits(placed, GrayTree(~(every ^ some), every)).withColumn("place", F.lit(-1).cast("long"))
+        asked = scratch.keep(placed.unionByName(visits), "simhash-asked")
+    turn = max(TURN, min(size, n) // SHARE)
+    turns = asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / turn).alias("turns"))
+    turns = F.broadcast(spark.createDataFrame(turns.collect(), turns.schema))  # a row for each block
+    dealt = asked.join(turns, "block").select("block", F.pmod(F.xxhash64("fp"), "turns").alias("turn"), "fp", "place")
+    copies = placed.join(turns, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "fp", "place")
+    # Both sides may come from one table; fresh names tell their columns apart.
+    copies = copies.select(*[F.col(c).alias(c) for c in copies.columns])
+
+    def run(block: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        held = np.empty(len(block), np.int64)
+        held[block["place"].to_numpy()] = block["fp"].to_numpy()
+        a, b = links_in(held.view(np.uint64), queries["fp"].to_numpy(np.int64).view(np.uint64), queries["place"].to_numpy(np.int64))
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    keys = ["part", "turn"]
+    keys = ["block", "turn"]
     return copies.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(run, "a long, b long")
 
 
