@@ -63,6 +63,7 @@ def test_links_join_up_what_is_near(spark, monkeypatch, block, turn):
     monkeypatch.setattr(simhash, "BLOCK", block)
     monkeypatch.setattr(simhash, "TURN", turn)
     monkeypatch.setattr(simhash, "SHARE", 4000)
+    monkeypatch.setattr(simhash, "CHUNK", block // 3)
     monkeypatch.setattr(simhash, "WALK", 100)
     fps = near_fingerprints(random.Random(block), 300)
     signed = np.array(fps, np.uint64).view(np.int64).tolist()

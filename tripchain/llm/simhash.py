@@ -39,6 +39,8 @@ NEAR = 2
 FAN, BLOCK, MOST_BLOCKS = 8, 1 << 20, 4096
 #: Least fingerprints to a turn, the share of a block that a turn has otherwise, and those that walk the tree together.
 TURN, SHARE, WALK = 1 << 15, 8, 1 << 10
+#: Fingerprints that are packed into one row of a block.
+CHUNK = 1 << 15
 #: Hashes whose bits are counted at once.
 COUNTED = 1 << 16
 #: Parts of a class in the join that gives rows their component.
@@ -171,6 +173,14 @@ def _visits(rows: DataFrame, roots: GrayTree) -> DataFrame:
     return rows.select("fp", "block").mapInArrow(tidy(run), "block long, fp long")
 
 
+def _packed(placed: DataFrame) -> DataFrame:
+    """(block, chunk, fps): runs of a block's fingerprints in their order, a row each."""
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [key[0]], "chunk": [key[1]], "fps": [part.sort_values("place")["fp"].to_numpy(np.int64).tobytes()]})
+
+    return placed.groupBy("block", F.expr(f"place div {CHUNK}").alias("chunk")).applyInPandas(run, "block long, chunk long, fps binary")
+
+
 def links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): links between different fingerprints (column ``fp``) that join up all near ones."""
     spark = distinct.sparkSession
@@ -191,14 +201,12 @@ def links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     turns = asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / turn).alias("turns"))
     turns = F.broadcast(spark.createDataFrame(turns.collect(), turns.schema))  # a row for each block
     dealt = asked.join(turns, "block").select("block", F.pmod(F.xxhash64("fp"), "turns").alias("turn"), "fp", "place")
-    copies = placed.join(turns, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "fp", "place")
-    # Both sides may come from one table; fresh names tell their columns apart.
-    copies = copies.select(*[F.col(c).alias(c) for c in copies.columns])
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn")
+    copies = _packed(placed).join(turns, "block").select("block", each, "chunk", "fps")
 
     def run(block: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        held = np.empty(len(block), np.int64)
-        held[block["place"].to_numpy()] = block["fp"].to_numpy()
-        a, b = links_in(held.view(np.uint64), queries["fp"].to_numpy(np.int64).view(np.uint64), queries["place"].to_numpy(np.int64))
+        held = np.frombuffer(b"".join(block.sort_values("chunk")["fps"]), np.uint64)
+        a, b = links_in(held, queries["fp"].to_numpy(np.int64).view(np.uint64), queries["place"].to_numpy(np.int64))
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     keys = ["block", "turn"]
