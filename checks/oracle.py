@@ -232,6 +232,10 @@ CTES: dict[str, str] = {
       SELECT s.*, o.h3 AS h3o, o.radio AS ro, o.depto AS eo, o.departamento AS deo, o.provincia AS pro,
              d.h3 AS h3d, d.radio AS rd, d.depto AS ed, d.departamento AS ded, d.provincia AS prd
       FROM stages s LEFT JOIN geography o ON o.id = s.po LEFT JOIN geography d ON d.id = s.pd""",
+    "odt": """
+      SELECT s.*, o.h3 AS h3o, o.radio AS ro, o.depto AS eo, o.departamento AS deo, o.provincia AS pro,
+             d.h3 AS h3d, d.radio AS rd, d.depto AS ed, d.departamento AS ded, d.provincia AS prd
+      FROM trips s LEFT JOIN geography o ON o.id = s.po LEFT JOIN geography d ON d.id = s.pd""",
 }
 
 _TRX_COLUMNS = """id, card AS id_tarjeta, modo, la AS lat_milli, lo AS lon_milli, sexo, bus AS interno_bus, kind AS tipo_trx_tren,
@@ -247,6 +251,16 @@ def _repeated(mode: str, columns: list[str]) -> str:
     return f"SELECT '{mode}' AS modo, card, hour, red, {shown}, count(*) AS n FROM c2 WHERE modo = '{mode}' GROUP BY {grouped} HAVING count(*) > 1"
 
 
+def _levels(source: str, wanted, *by: str) -> str:
+    """Counts at pairs of levels, a statement for each pair."""
+    names = ["departamento", "provincia", "todo"]
+    kept = lambda end, column, shown: f"{column} AS {end}" if shown else f"NULL AS {end}"
+    return " UNION ALL ".join(
+        f"""SELECT {kept('departamento_o', 'deo', o < 1)}, {kept('provincia_o', 'pro', o < 2)}, {kept('departamento_d', 'ded', d < 1)},
+      {kept('provincia_d', 'prd', d < 2)}, {''.join(b + ', ' for b in by)}count(*) AS cantidad, '{names[o]}' AS nivel_o, '{names[d]}' AS nivel_d
+      FROM {source} GROUP BY ALL HAVING count(*) > 0""" for o in range(3) for d in range(3) if wanted(o, d))
+
+
 RESULTS: dict[str, str] = {
     "base_stages": f"SELECT {_TRX_COLUMNS} FROM base",
     "stage_ids": "SELECT id, card AS id_tarjeta, stage AS id_etapa FROM e1",
@@ -272,9 +286,9 @@ RESULTS: dict[str, str] = {
     "tie_next": _TIES.format("t1"),
     "tie_prev": _TIES.format("t2"),
     "tie_id": _TIES.format("t3"),
-    "point_in_buffer": f"""SELECT t.id, s.id AS parada, {_inside('t', 's')} AS dentro
+    "point_in_buffer": f"""SELECT t.id, t.linea AS id_linea, count(s.id) AS paradas
       FROM (SELECT i.* REPLACE (coalesce(l.linea, i.linea) AS linea) FROM inbox i LEFT JOIN ln l ON l.ramal = i.ramal) t
-      JOIN st s ON s.linea = t.linea WHERE s.id = (SELECT min(z.id) FROM st z WHERE z.linea = s.linea)""",
+      LEFT JOIN st s ON s.linea = t.linea AND {_inside('t', 's')} GROUP BY ALL""",
     "buffer_join": f"""SELECT linea AS line, lo AS lon_milli, la AS lat_milli, best.p AS stop, best.d AS stop_dist FROM (
       SELECT s.linea, g.lo, g.la, min({{'d': {_steps('g', 's')}, 'p': s.id}}) AS best
       FROM (SELECT DISTINCT linea, lo, la, cq, cr FROM linetaps WHERE card IS NOT NULL AND modo IN ('COL', 'SUB', 'TRE')) g
@@ -294,11 +308,18 @@ RESULTS: dict[str, str] = {
       eo AS depto_2010_o, deo AS departamento_o, pro AS provincia_o, h3d AS h3_d, rd AS radio_2010_d, ed AS depto_2010_d,
       ded AS departamento_d, prd AS provincia_d FROM od""",
     "od_matrix": "SELECT deo AS departamento_o, ded AS departamento_d, hour AS hora, count(*) AS cantidad FROM od GROUP BY ALL",
+    "od_rollup": _levels("od", lambda o, d: o == d, "hour AS hora"),
+    "od_cube": _levels("odt", lambda o, d: True),
+    "od_trips": """SELECT card AS id_tarjeta, trip AS id_viaje, n AS cantidad_etapas, hour AS hora, open AS etapas_incompletas,
+      po AS parada_id_o, pd AS parada_id_d, h3o AS h3_o, ro AS radio_2010_o, eo AS depto_2010_o, deo AS departamento_o,
+      pro AS provincia_o, h3d AS h3_d, rd AS radio_2010_d, ed AS depto_2010_d, ded AS departamento_d, prd AS provincia_d FROM odt""",
     "load_trx": f"SELECT {_TRX_COLUMNS} FROM trx",
     "load_stops": """SELECT id, linea AS id_linea, ramal AS id_ramal, nombre AS nombre_estacion, lo AS longitud_milli, la AS latitud_milli,
       cq || '_' || cr AS h3 FROM st""",
     "load_lines": """SELECT linea AS id_linea, 'L' || linea AS linea, CASE WHEN linea > 200 THEN 'TRE' WHEN linea > 100 THEN 'SUB' ELSE 'COL' END AS modo,
       ramal AS id_ramal, 'R' || ramal AS ramal_corto, 'Ramal ' || ramal AS ramal, NULL::VARCHAR AS provincia, NULL::VARCHAR AS municipio FROM ln""",
+    "load_fares": """SELECT k % 8 AS id_tarifa, 'Tarifa ' || (k % 8) AS descripcion, 1800 + 25 * (k % 8) + count(*) % 25 AS centavos
+      FROM ev GROUP BY k % 8""",
     "load_cells": "SELECT h3, radio AS radio_2010, depto AS depto_2010, departamento, provincia FROM cl",
     "sink_roundtrip": """SELECT t.card AS id_tarjeta, t.trip AS id_viaje, t.n AS cantidad_etapas, t.po AS parada_id_o, t.pd AS parada_id_d,
       c.home AS parada_hogar, c.sexo, c.open AS viajes_con_etapas_incompletas FROM trips t JOIN cards c ON c.card = t.card""",

@@ -43,7 +43,7 @@ def test_lookups_equal_all_pairs(taps, stop_table, scattered, broadcast_spots):
 
     own = pairs[(pairs.kind == pairs.route_kind) & (pairs.own == pairs.route) & pairs.held]
     expected = {k: best(g) for k, g in own.groupby(["route_kind", "route", "lon", "lat"]) if best(g)[1] <= config.origin_cells}
-    found = nearest.origin_lookup(places, stops, config).collect()
+    found = nearest.origins_of(places, nearest.origin_lookup(nearest.cells_of(rows, config), stops, config), config).collect()
     assert expected and {(r.route_kind, r.route, r.lon, r.lat): (r.stop, r.stop_dist) for r in found} == expected
 
     lines = pairs[(pairs.kind == nearest.LINE) & pairs.held]
@@ -55,11 +55,42 @@ def test_lookups_equal_all_pairs(taps, stop_table, scattered, broadcast_spots):
     assert expected and len(found) <= len(wanted) and {(r.line, r.lon, r.lat): (r.stop, r.stop_dist) for r in found} == expected
 
 
-def test_modes_without_stops_get_no_origin(taps, stop_table, scattered):
-    stops, rows = stop_table(scattered[0]), taps(scattered[1])
-    lookup = nearest.origin_lookup(nearest.places_of(rows), stops)
-    found = nearest.impute_origin(rows, lookup)
-    assert found.where("modo = 'LAN' OR parada_id_o IS NULL").count() == 0 and 0 < found.count() < rows.count()
+@pytest.mark.parametrize("broadcast_lookup", [1_000, 0])
+def test_origins_are_attached_to_all_rows(taps, stop_table, scattered, broadcast_lookup):
+    config = Config(broadcast_lookup=broadcast_lookup)
+    stops, rows = stop_table(scattered[0]), taps([*scattered[1], dict(id=1000, lon=None, lat=None), dict(id=1001, id_linea=None)])
+    lookup = settle(nearest.origin_lookup(nearest.cells_of(rows, config), stops, config), "origin")
+    found = nearest.attach_origin(rows, lookup, config)
+    assert sorted(found.columns) == sorted([*rows.columns, "parada_id_o"]) and found.count() == rows.count()
+    placed = nearest.origins_of(nearest.places_of(rows, config), lookup, config).collect()
+    expected = {(r.route_kind, r.route, r.lon, r.lat): r.stop for r in placed}
+    for r in found.collect():
+        kind, route = (nearest.LINE, r.id_linea) if r.modo == "COL" else (nearest.BRANCH, r.id_ramal)
+        assert r.parada_id_o == (None if r.modo == "LAN" else expected.get((kind, route, r.lon, r.lat)))
+    assert 0 < nearest.drop_unlocated(found).count() < rows.count()
+
+
+def test_origin_table_does_not_grow_with_the_digits_of_coordinates(taps, stop_table):
+    r = random.Random(2)
+    rows = taps([dict(id=i, lon=round(-58.5 + r.random() * 0.002, 12), lat=round(-34.6 + r.random() * 0.002, 12)) for i in range(600)])
+    stops = stop_table([(1, 1, 10, -58.499, -34.599), (2, 1, 10, -58.4985, -34.599)])
+    assert nearest.places_of(rows).count() == 600
+    lookup = settle(nearest.origin_lookup(nearest.cells_of(rows), stops), "origin")
+    assert 2 < lookup.count() < 20
+    steps = with_cell(nearest.attach_origin(rows, lookup)).crossJoin(
+        with_cell(stops.select(F.col("id").alias("stop"), "longitud", "latitud"), Config(), "longitud", "latitud", "stop_q", "stop_r")).withColumn(
+        "d", F.expr(distance("cell_q", "cell_r", "stop_q", "stop_r"))).toPandas().sort_values(["id", "d", "stop"]).groupby("id").first()
+    assert (steps["parada_id_o"] == steps["stop"]).all() and steps["stop"].nunique() == 2
+
+
+def test_holding_stops_are_counted(taps, stop_table, scattered):
+    stops, rows = stop_table([*scattered[0], (900, 1, 10, scattered[0][0][3], scattered[0][0][4])]), taps(scattered[1])
+    places = settle(rows.select(F.col("id_linea").alias("line"), "lon", "lat").distinct(), "places")
+    held = places.crossJoin(stops.select("id_linea", "longitud", "latitud")).where("line = id_linea").where(
+        point_in_buffer("lon", "lat", "longitud", "latitud")).groupBy("line", "lon", "lat").count()
+    for config in (Config(), Config(broadcast_spots=0)):
+        found = nearest.holding_stops(places, stops, config)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, held.collect()))
 
 
 @pytest.mark.parametrize("hot_broadcast", [1_000, 0])

@@ -45,3 +45,5 @@ class Config:
     hot_broadcast: int = 1_000_000
     # Most stops (counted per line and branch) that are broadcast to the places.
     broadcast_spots: int = 1_000_000
+    # Most rows (counted) of a table of origins or destinations that are broadcast to the taps.
+    broadcast_lookup: int = 1_000_000

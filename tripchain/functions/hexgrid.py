@@ -46,13 +46,3 @@ def distance(q1: str, r1: str, q2: str, r2: str) -> str:
     """Steps between two cells through adjacent cells, as a SQL expression."""
     dq, dr = f"({q1} - {q2})", f"({r1} - {r2})"
     return f"greatest(abs({dq}), abs({dr}), abs({dq} + {dr}))"
-
-
-def reach_degrees(cells: int, side: float) -> float:
-    """A width in degrees no pair of points at most ``cells`` apart can exceed.
-
-    Centres are sqrt(3) sides apart and a point is at most one side off its centre.
-    The quarter on top is a margin.
-    """
-    metres = (cells * math.sqrt(3.0) + 2.0) * side
-    return 1.25 * metres / min(M_PER_LON, M_PER_LAT)

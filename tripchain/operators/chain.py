@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -96,16 +96,23 @@ def trip_ids(df: DataFrame, card: Sequence[str] = CARD) -> DataFrame:
     )
 
 
+def on_values(df: DataFrame, step: Callable[[DataFrame, Sequence[str]], DataFrame], card: Sequence[str] = CARD) -> DataFrame:
+    """Run a step once per distinct value of the order columns, with the number of taps as weight, and give its columns to the taps.
+
+    A card has a few hundred such values at most, however many taps it has.
+    """
+    keys = [*card, *TAP_ORDER]
+    groups = df.groupBy(*keys).agg(F.count("*").alias("_weight"))
+    return join_back(df, step(groups, card).drop("_weight"), keys)
+
+
 def chain(df: DataFrame, card: Sequence[str] = CARD, spread: bool = False) -> DataFrame:
     """Stage ids, check-out repair and trip ids in one go.
 
     All of them depend on a tap only through its order columns, so the spread form computes
-    them once per distinct value of those, with the number of taps as weight. A card has a few
-    hundred such values at most, however many taps it has.
+    them once per distinct value of those.
     """
     if spread:
-        keys = [*card, *TAP_ORDER]
-        groups = df.groupBy(*keys).agg(F.count("*").alias("_weight"))
-        return join_back(df, chain(groups, card).drop("_weight"), keys)
+        return on_values(df, chain, card)
     return df.transform(stage_ids, card).transform(trip_temp_id) \
         .transform(repair_checkouts, card).transform(trip_ids, card).drop("id_viaje_temp")

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tripchain.config import Config
 from tripchain.operators.chain import CARD, is_boarding
-from tripchain.session import settle
+from tripchain.operators.nearest import attach
 from tripchain.operators.skew import BLOCK_BITS, group_stats, join_back, rank_rows
+from tripchain.session import settle
 
 DAY_ORDER = ("id_viaje", "id_etapa", "tipo_trx_tren")
 
@@ -49,12 +50,10 @@ def impute_destination(df: DataFrame, lookup: DataFrame, config: Config = Config
     One row per stage gets a destination, chosen by kind, distance and id among the boardings that
     have a candidate; the cut by distance comes after that choice.
     """
-    line, lon, lat = F.col("id_linea"), F.col("next.lon"), F.col("next.lat")
+    key = {"_line": F.col("id_linea"), "_lon": F.col("next.lon"), "_lat": F.col("next.lat")}
     stop = lookup.select(
         F.col("line").alias("_line"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), "stop", "stop_dist")
-    candidates = df.join(
-        stop, (line == F.col("_line")) & (lon == F.col("_lon")) & (lat == F.col("_lat")), "left"
-    ).drop("_line", "_lon", "_lat")
+    candidates = attach(df.withColumns(key), stop, list(key), config.broadcast_lookup).drop(*key)
     entry = F.struct(
         F.col("tipo_trx_tren").isNull().alias("unknown"),
         F.col("tipo_trx_tren").alias("kind"),

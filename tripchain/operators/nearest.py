@@ -1,9 +1,9 @@
-"""Nearest stop of a line or branch, once per distinct place.
+"""Nearest stop of a line or branch, once per distinct cell or place.
 
-Distances depend on a tap through its place only, and places are few: coordinates have three
-decimals. So the candidate join runs over distinct places, whose number the service area bounds,
-and taps look their stop up afterwards. That keeps a station with a third of all taps from
-meaning a third of the join.
+A tap's origin depends on its route and its cell only, so origins are looked up per (route, cell): a table that the service area
+bounds, whatever the precision of coordinates. A destination also depends on whether the place lies in a stop's buffer, so
+it is looked up per (line, place), for the pairs that boardings ask for. Taps look their stop up afterwards, which keeps a station with a third
+of all taps from meaning a third of the join.
 """
 
 from __future__ import annotations
@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from tripchain.config import Config
 from tripchain.functions.geo import point_in_buffer, with_bin, with_near_bins
-from tripchain.functions.hexgrid import distance, reach_degrees, with_cell
+from tripchain.functions.hexgrid import distance, with_cell
 from tripchain.session import settle
 
 LINE, BRANCH = "linea", "ramal"
+ORIGIN_KEY = ("route_kind", "route", "cell_q", "cell_r")
 # Parts of a bin in the join with more stops than can be broadcast.
 SALTS = 16
 
@@ -49,35 +50,23 @@ def stops_by_route(stops: DataFrame, config: Config = Config(), kinds: Sequence[
     return settle(with_cell(spots, config, "stop_lon", "stop_lat", "stop_q", "stop_r"), "spots")
 
 
-def nearest(places: DataFrame, spots: DataFrame, on: Sequence[str], by: Sequence[str], width: float,
-            accept: Column | None = None, max_cells: int | None = None,
-            broadcast_spots: int = Config.broadcast_spots) -> DataFrame:
-    """The stop at the smallest cell distance (lowest id on a draw) per ``by``.
+def _as_double(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({f"{c}_deg": F.col(c).cast("double") for c in columns})
 
-    ``places`` have lon, lat, cell_q, cell_r; ``on`` are the columns equal on both sides besides the
-    bin. ``accept`` tests a pair (coordinates as doubles end in _deg), ``max_cells`` cuts pairs before
-    the choice.
-    """
-    as_double = lambda df, *columns: df.withColumns(
-        {f"{c}_deg": F.col(c).cast("double") for c in columns})
-    # Each place meets many stops: spread the places by cell before they are matched.
-    spread = as_double(places.repartition("cell_q", "cell_r"), "lon", "lat")
-    # Only the nine bins round a place can hold a stop within a bin's width of it.
-    near = with_near_bins(spread, "lon_deg", "lat_deg", width)
-    keyed = with_bin(as_double(spots, "stop_lon", "stop_lat"), "stop_lon_deg", "stop_lat_deg", width)
+
+def _met(near: DataFrame, keyed: DataFrame, on: Sequence[str], by: Sequence[str], broadcast_spots: int) -> DataFrame:
+    """Rows of ``near`` with the stops of their bins. Stops are broadcast only up to a counted number; beyond that, a bin in
+    the centre may have a large share of the rows, and each bin is cut into salts by the columns ``by``."""
     on = [*on, "bin_x", "bin_y"]
-    if spots.count() <= broadcast_spots:
-        pairs = near.join(F.broadcast(keyed), on)
-    else:
-        # A bin in the centre may have a large share of the places: cut each bin into salts.
-        salted = near.withColumn("_salt", F.pmod(F.xxhash64("lon", "lat"), F.lit(SALTS)).cast("int"))
-        copies = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        pairs = salted.join(copies, [*on, "_salt"])
-    pairs = pairs.withColumn("_dist", F.expr(distance("cell_q", "cell_r", "stop_q", "stop_r")))
-    if max_cells is not None:
-        pairs = pairs.where(F.col("_dist") <= max_cells)
-    if accept is not None:
-        pairs = pairs.where(accept)
+    if keyed.count() <= broadcast_spots:
+        return near.join(F.broadcast(keyed), on)
+    salted = near.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+    copies = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*on, "_salt"])
+
+
+def _nearest(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The stop at the smallest cell distance (lowest id on a draw) per ``by``."""
     # In two steps both aggregates have fixed-width buffers and stay in the hash aggregate.
     return (
         pairs.groupBy(*by, "_dist").agg(F.min("stop").alias("_stop"))
@@ -85,25 +74,48 @@ def nearest(places: DataFrame, spots: DataFrame, on: Sequence[str], by: Sequence
     )
 
 
+CELL_DISTANCE = distance("cell_q", "cell_r", "stop_q", "stop_r")
+
+
 def places_of(taps: DataFrame, config: Config = Config()) -> DataFrame:
     """Distinct (route, place) of taps inside the service area."""
     return (
         with_route(taps, config).where(F.col("route").isNotNull())
-        .groupBy("route_kind", "route", "lon", "lat").agg(F.count("*").alias("taps"))
+        .select("route_kind", "route", "lon", "lat").distinct()
+    )
+
+
+def cells_of(taps: DataFrame, config: Config = Config()) -> DataFrame:
+    """Distinct (route, cell) of taps inside the service area."""
+    return (
+        with_cell(with_route(taps, config).where(F.col("route").isNotNull()), config)
+        .select(*ORIGIN_KEY).distinct()
     )
 
 
-def origin_lookup(places: DataFrame, stops: DataFrame, config: Config = Config()) -> DataFrame:
-    """(route, place) → origin stop at most ``origin_cells`` away.
+def _cell_bin(column: str, width: int) -> Column:
+    return F.floor(F.col(column) / width)
+
 
-    The buffer is wider than the cut, so it needs no test here.
+def origin_lookup(cells: DataFrame, stops: DataFrame, config: Config = Config()) -> DataFrame:
+    """(route, cell) → origin stop at most ``origin_cells`` away.
+
+    The buffer is wider than the cut, so it needs no test here. Bins are squares of cells as wide as the cut, so the nine round a cell
+    hold all that is in reach.
     """
-    by = ["route_kind", "route", "lon", "lat"]
-    return nearest(
-        with_cell(places.select(*by), config), stops_by_route(stops, config),
-        on=["route_kind", "route"], by=by,
-        width=reach_degrees(config.origin_cells, config.hex_side_m), max_cells=config.origin_cells,
-        broadcast_spots=config.broadcast_spots)
+    width = max(1, config.origin_cells)
+    spots = (
+        stops_by_route(stops, config).groupBy("route_kind", "route", "stop_q", "stop_r").agg(F.min("stop").alias("stop"))
+        .withColumns({"bin_x": _cell_bin("stop_q", width), "bin_y": _cell_bin("stop_r", width)})
+    )
+    step = F.explode(F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long")))
+    # Each cell meets many stops: spread the cells before they are matched.
+    near = (
+        cells.select(*ORIGIN_KEY).repartition("cell_q", "cell_r").withColumn("_dx", step).withColumn("_dy", step)
+        .withColumns({"bin_x": _cell_bin("cell_q", width) + F.col("_dx"), "bin_y": _cell_bin("cell_r", width) + F.col("_dy")})
+    )
+    pairs = _met(near, spots, ["route_kind", "route"], ORIGIN_KEY, config.broadcast_spots).withColumn("_dist", F.expr(CELL_DISTANCE))
+    return _nearest(pairs.where(F.col("_dist") <= config.origin_cells), ORIGIN_KEY)
 
 
 def destination_lookup(asked: DataFrame, stops: DataFrame, config: Config = Config()) -> DataFrame:
@@ -113,17 +125,57 @@ def destination_lookup(asked: DataFrame, stops: DataFrame, config: Config = Conf
     """
     by = ["line", "lon", "lat"]
     spots = stops_by_route(stops, config, (LINE,)).drop("route_kind").withColumnRenamed("route", "line")
-    held = point_in_buffer("lon_deg", "lat_deg", "stop_lon_deg", "stop_lat_deg", config.buffer_deg, config.buffer_quad_segs)
-    return nearest(
-        with_cell(asked.select(*by).distinct(), config), spots,
-        on=["line"], by=by, width=config.buffer_deg, accept=held,
-        broadcast_spots=config.broadcast_spots)
+    pairs = _held(with_cell(asked.select(*by).distinct(), config), spots, config)
+    return _nearest(pairs.withColumn("_dist", F.expr(CELL_DISTANCE)), by)
+
+
+def _held(places: DataFrame, spots: DataFrame, config: Config) -> DataFrame:
+    """Places (line, lon, lat) with each of the line's stops whose buffer holds them."""
+    # Each place meets many stops: spread the places before they are matched. Only the nine bins round a place can hold a stop
+    # within a bin's width of it.
+    near = with_near_bins(_as_double(places.repartition("lon", "lat"), "lon", "lat"), "lon_deg", "lat_deg", config.buffer_deg)
+    keyed = with_bin(_as_double(spots, "stop_lon", "stop_lat"), "stop_lon_deg", "stop_lat_deg", config.buffer_deg)
+    inside = point_in_buffer("lon_deg", "lat_deg", "stop_lon_deg", "stop_lat_deg", config.buffer_deg, config.buffer_quad_segs)
+    return _met(near, keyed, ["line"], ["lon", "lat"], config.broadcast_spots).where(inside)
+
 
+def holding_stops(places: DataFrame, stops: DataFrame, config: Config = Config()) -> DataFrame:
+    """(line, lon, lat, stops): how many stops of the line have the place in their buffer, for places with any."""
+    spots = settle(
+        stops.where("id_linea IS NOT NULL AND longitud IS NOT NULL AND latitud IS NOT NULL")
+        .groupBy(F.col("id_linea").alias("line"), F.col("longitud").alias("stop_lon"), F.col("latitud").alias("stop_lat"))
+        .agg(F.count("*").alias("_stops")), "spots")
+    return _held(places.select("line", "lon", "lat").distinct(), spots, config).groupBy("line", "lon", "lat").agg(
+        F.sum("_stops").alias("stops"))
 
-def impute_origin(df: DataFrame, lookup: DataFrame, config: Config = Config()) -> DataFrame:
-    """Add parada_id_o; taps without a stop in reach go."""
-    stop = lookup.select("route_kind", "route", "lon", "lat", F.col("stop").alias("parada_id_o"))
+
+def attach(df: DataFrame, lookup: DataFrame, on: Sequence[str], broadcast_rows: int = Config.broadcast_lookup) -> DataFrame:
+    """Rows with what a table has for their key, null where it has nothing. The table, settled before, has one row per key.
+
+    A table of up to ``broadcast_rows`` rows (counted) goes to the taps, so that they need no exchange, whatever the planner's threshold. Beyond
+    that both are exchanged by the key, and the rows of one key are cut into salts by their id.
+    """
+    if lookup.count() <= broadcast_rows:
+        return df.join(F.broadcast(lookup), list(on), "left")
+    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (
-        with_route(df, config).join(stop, ["route_kind", "route", "lon", "lat"])
-        .drop("route_kind", "route")
+        df.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        .join(copies, [*on, "_salt"], "left").drop("_salt")
     )
+
+
+def attach_origin(df: DataFrame, lookup: DataFrame, config: Config = Config()) -> DataFrame:
+    """Add parada_id_o, null where no stop is in reach. Lines are canonical already."""
+    stop = lookup.select(*ORIGIN_KEY, F.col("stop").alias("parada_id_o"))
+    return attach(with_cell(with_route(df, config), config), stop, ORIGIN_KEY, config.broadcast_lookup).drop(*ORIGIN_KEY)
+
+
+def origins_of(places: DataFrame, lookup: DataFrame, config: Config = Config()) -> DataFrame:
+    """(route, place) → origin stop, for places that have one."""
+    found = with_cell(places, config).join(lookup, list(ORIGIN_KEY))
+    return found.drop("cell_q", "cell_r")
+
+
+def drop_unlocated(df: DataFrame) -> DataFrame:
+    """Taps without a stop in reach go."""
+    return df.where(F.col("parada_id_o").isNotNull())

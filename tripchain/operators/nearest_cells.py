@@ -1,14 +1,16 @@
 """Distance from each cell of one set to the nearest cell of another, within groups.
 
-Used for the stages of hot cards only. Both sides are distinct cells, so their number is bound by
-the service area and not by the taps; the first side is cut into slices so that no task
-holds more than one slice, and no pair of cells is ever emitted.
+Used for the stages of hot cards only. Both sides are distinct cells, cut into bands of grid rows; a task holds one band of members and one band of
+targets, which the width of the service area bounds, and no pair of cells is ever emitted. A member is compared with the bands round its own. What
+lies beyond is at least as far as the rows between, so most members are settled at once, and only the others look at bands further out, twice as far
+each time.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,11 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripchain.operators.skew import join_back
+from tripchain.session import settle
 
 # Send the search to the workers with the query: the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SLICE_CELLS = 100_000
+BAND_ROWS = 64
 _ROW_STRIDE = np.int64(1) << 32
 
 
@@ -55,16 +58,10 @@ def hex_distance_to_set(q: np.ndarray, r: np.ndarray, set_q: np.ndarray, set_r:
         offset += 1
 
 
-def nearest_cells(members: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, cell_q, cell_r, _dist) for each member whose group has a target."""
-    slices = (
-        members.groupBy(*keys).agg(F.count("*").alias("_n"))
-        .select(*keys, F.ceil(F.col("_n") / SLICE_CELLS).cast("int").alias("_slices"))
-    )
-    sliced = join_back(members, slices, keys, "inner").withColumn(
-        "_slice", F.pmod(F.xxhash64("cell_q", "cell_r"), F.col("_slices")).cast("int")).drop("_slices")
-    copies = join_back(targets, slices, keys, "inner").withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
+def _compared(asked: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, cell_q, cell_r, _dist): per member and band that it asks (``_other``) the distance to the nearest target of the band."""
+    pairs = asked.select(*keys, "_band", "_other").distinct()
+    copies = join_back(targets.withColumnRenamed("_band", "_other"), pairs, [*keys, "_other"], "inner")
     # Both sides may come from one table; fresh names tell their columns apart.
     copies = copies.select(*[F.col(c).alias(c) for c in copies.columns])
     names = [*keys, "cell_q", "cell_r", "_dist"]
@@ -76,8 +73,31 @@ def nearest_cells(members: DataFrame, targets: DataFrame, keys: Sequence[str]) -
             side[c].to_numpy(np.int64) for side in (left, right) for c in ("cell_q", "cell_r")))
         return left[[*keys, "cell_q", "cell_r"]].assign(_dist=found)
 
-    schema = members.select(*keys, "cell_q", "cell_r", F.lit(0).cast("long").alias("_dist")).schema
-    return (
-        sliced.groupBy(*keys, "_slice").cogroup(copies.groupBy(*keys, "_slice"))
-        .applyInPandas(search, schema)
-    )
+    schema = asked.select(*keys, "cell_q", "cell_r", F.lit(0).cast("long").alias("_dist")).schema
+    on = [*keys, "_band", "_other"]
+    return asked.groupBy(*on).cogroup(copies.groupBy(*on)).applyInPandas(search, schema)
+
+
+def nearest_cells(members: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, cell_q, cell_r, _dist) for each member whose group has a target."""
+    cell = [*keys, "cell_q", "cell_r"]
+    banded = lambda df: df.select(*cell, F.floor(F.col("cell_r") / BAND_ROWS).alias("_band"))
+    targets = settle(banded(targets), "targets")
+    spans = targets.groupBy(*keys).agg(F.min("_band").alias("_low"), F.max("_band").alias("_high"))
+    waiting = settle(join_back(banded(members), spans, keys, "inner").withColumn("_dist", F.lit(None).cast("long")), "members")
+    settled, first, last = [], 0, 1
+    while True:
+        rings = [d for d in range(-last, last + 1) if abs(d) >= first]
+        asked = waiting.withColumn("_other", F.explode(F.array(*[F.col("_band") + d for d in rings]))).where("_other BETWEEN _low AND _high")
+        found = _compared(asked, targets, keys)
+        state = ["_band", "_low", "_high"]
+        known = waiting.select(*cell, *state, "_dist").unionByName(
+            found.select(*cell, *[F.lit(None).cast("long").alias(c) for c in state], "_dist"))
+        best = settle(known.groupBy(*cell).agg(*[F.min(c).alias(c) for c in (*state, "_dist")]), "members")
+        # Targets in bands that were not asked are more than ``last * BAND_ROWS`` rows away.
+        done = f"_dist <= {last * BAND_ROWS} OR (_band - {last} <= _low AND _band + {last} >= _high)"
+        settled.append(best.where(done).select(*cell, "_dist"))
+        waiting = best.where(f"NOT coalesce({done}, false)")
+        if waiting.isEmpty():
+            return reduce(DataFrame.unionByName, settled)
+        first, last = last + 1, 2 * last + 1

@@ -51,7 +51,8 @@ def _count_down(df: DataFrame, moves: Column, card: Sequence[str], order: dict[s
             .withColumn(STAGE, F.when(F.col("_moves"), step).otherwise(F.col(STAGE)))
             .drop("_moves", "_rank")
         )
-    moved = rank_rows(flagged.where("_moves"), keys, order, "_rank", spread=True)
+    # Counts per distance are summed up first: no window sees all id blocks of a stage.
+    moved = rank_rows(flagged.where("_moves"), keys, order, "_rank", coarse=order, spread=True)
     return (
         moved.withColumn(STAGE, step).drop("_moves", "_rank")
         .unionByName(flagged.where("not _moves").drop("_moves"))

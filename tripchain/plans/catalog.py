@@ -3,18 +3,17 @@ what that operator adds, with integers as bigint and coordinates in thousandths
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripchain.config import BUS, METRO, TRAIN, Config
-from tripchain.functions.geo import point_in_buffer
 from tripchain.functions.hexgrid import distance
 from tripchain.operators import anonymize as masking
 from tripchain.operators import chain, clean, destinations, nearest, od, ties, trips
-from tripchain.operators.skew import group_stats, join_back
+from tripchain.operators.skew import group_stats
 from tripchain.plans import day
 from tripchain.session import scratch_path, settle
 from tripchain.sources import csv, driver_tables
@@ -42,6 +41,7 @@ class _Inputs:
         self.stops = driver_tables.stops(spark, sf_dir)
         self.lines = driver_tables.lines(spark, sf_dir)
         self.cells = driver_tables.cells(spark, sf_dir)
+        self.fares = driver_tables.fares(spark, sf_dir)
 
     def origins(self) -> DataFrame:
         return day.origin_table(self.trx, self.stops, self.lines, CONFIG)
@@ -55,37 +55,33 @@ def base_stages(t: _Inputs) -> DataFrame:
                  "tipo_trx_tren", "etapa_red_sube", "id_linea", "id_ramal", "id_tarifa", "hora")
 
 
-def _groups(t: _Inputs) -> DataFrame:
-    """Distinct order values per card with their number of taps: what ids are computed on when
-    cards may be of any size."""
-    return chain.base_stages(t.trx).groupBy(*chain.CARD, *chain.TAP_ORDER).agg(F.count("*").alias("_weight"))
+def _chained(t: _Inputs, step: Callable[[DataFrame, Sequence[str]], DataFrame]) -> DataFrame:
+    """A step of the chain: windows for ordinary cards, distinct order values for hot ones."""
+    def run(df: DataFrame, card: Sequence[str], spread: bool = False) -> DataFrame:
+        return chain.on_values(df, step, card) if spread else step(df, card)
+    return day.started(t.trx, CONFIG).apply(run, CONFIG.card_keys).union()
 
 
-def _per_tap(t: _Inputs, step: Callable[[DataFrame], DataFrame], *columns: str) -> DataFrame:
-    keys = [*chain.CARD, *chain.TAP_ORDER]
-    return _show(join_back(chain.base_stages(t.trx), step(_groups(t)).drop("_weight"), keys),
-                 "id", "id_tarjeta", *columns)
+def _temp_ids(df: DataFrame, card: Sequence[str]) -> DataFrame:
+    return chain.trip_temp_id(chain.stage_ids(df, card))
 
 
 def stage_ids(t: _Inputs) -> DataFrame:
-    return _per_tap(t, chain.stage_ids, "id_etapa")
+    return _show(_chained(t, chain.stage_ids), "id", "id_tarjeta", "id_etapa")
 
 
 def trip_temp_id(t: _Inputs) -> DataFrame:
-    return _per_tap(t, lambda g: chain.trip_temp_id(chain.stage_ids(g)), "id_etapa", "id_viaje_temp")
+    return _show(_chained(t, _temp_ids), "id", "id_tarjeta", "id_etapa", "id_viaje_temp")
 
 
 def checkout_only_trips(t: _Inputs) -> DataFrame:
-    flagged = chain.checkout_only(chain.trip_temp_id(chain.stage_ids(_groups(t))))
-    return (
-        flagged.where("solo_checkout").groupBy("id_tarjeta", "id_viaje_temp")
-        .agg(F.sum("_weight").alias("checkouts"))
-    )
+    flagged = _chained(t, lambda df, card: chain.checkout_only(_temp_ids(df, card), card))
+    return flagged.where("solo_checkout").groupBy("id_tarjeta", "id_viaje_temp").agg(F.count("*").alias("checkouts"))
 
 
 def checkout_fix(t: _Inputs) -> DataFrame:
-    return _per_tap(t, lambda g: chain.repair_checkouts(chain.trip_temp_id(chain.stage_ids(g))),
-                    "id_etapa", "id_viaje_temp")
+    repaired = _chained(t, lambda df, card: chain.repair_checkouts(_temp_ids(df, card), card))
+    return _show(repaired, "id", "id_tarjeta", "id_etapa", "id_viaje_temp")
 
 
 def trip_ids(t: _Inputs) -> DataFrame:
@@ -150,12 +146,11 @@ def _line_taps(t: _Inputs) -> DataFrame:
 
 
 def point_in_buffer_query(t: _Inputs) -> DataFrame:
-    """Whether each tap lies in the buffer of the first stop of its line."""
-    first = t.stops.groupBy(F.col("id_linea").alias("line")).agg(
-        F.min(F.struct("id", "longitud", "latitud")).alias("stop"))
-    inside = point_in_buffer("lon", "lat", "stop.longitud", "stop.latitud", CONFIG.buffer_deg, CONFIG.buffer_quad_segs)
-    return _line_taps(t).join(first, F.col("id_linea") == F.col("line")).select(
-        "id", F.col("stop.id").alias("parada"), inside.alias("dentro"))
+    """In how many buffers of its line's stops each tap lies."""
+    taps = _line_taps(t).withColumn("line", F.col("id_linea"))
+    held = settle(nearest.holding_stops(taps, t.stops, CONFIG), "held")
+    return nearest.attach(taps, held, ["line", "lon", "lat"], CONFIG.broadcast_lookup).select(
+        "id", "id_linea", F.coalesce("stops", F.lit(0)).cast("long").alias("paradas"))
 
 
 def buffer_join(t: _Inputs) -> DataFrame:
@@ -168,7 +163,7 @@ def buffer_join(t: _Inputs) -> DataFrame:
 def origin_union(t: _Inputs) -> DataFrame:
     """Origin stops of bus, train and metro places in one pass."""
     places = day.tap_places(t.trx, t.lines, CONFIG)
-    return _show(nearest.origin_lookup(places, t.stops, CONFIG),
+    return _show(nearest.origins_of(places, t.origins(), CONFIG),
                  "route_kind", "route", "lon_milli", "lat_milli", "stop", "stop_dist")
 
 
@@ -222,6 +217,27 @@ def od_matrix(t: _Inputs) -> DataFrame:
     return _show(counted, *counted.columns)
 
 
+def od_rollup(t: _Inputs) -> DataFrame:
+    """Stages by hour between departments, between provinces and in all."""
+    stages = t.stages().select("hora", "parada_id_o", "parada_id_d")
+    counted = od.od_rollup(od.georeference(stages, t.stops, t.cells), by=["hora"])
+    return _show(counted, *counted.columns)
+
+
+def od_cube(t: _Inputs) -> DataFrame:
+    """Trips between places at every pair of levels."""
+    ends = trips.build_trips(t.stages()).select("parada_id_o", "parada_id_d")
+    return od.od_rollup(od.georeference(ends, t.stops, t.cells), crossed=True)
+
+
+def od_trips(t: _Inputs) -> DataFrame:
+    """Trips with the geography of both ends."""
+    built = trips.build_trips(t.stages()).select(
+        "id_tarjeta", "id_viaje", "cantidad_etapas", "hora", "etapas_incompletas", "parada_id_o", "parada_id_d")
+    found = od.georeference(built, t.stops, t.cells)
+    return _show(found, *found.columns)
+
+
 def _written_csv(df: DataFrame, name: str) -> str:
     """The table as CSV with a header, nulls unquoted and empty strings quoted."""
     path = scratch_path(df.sparkSession, name)
@@ -229,18 +245,31 @@ def _written_csv(df: DataFrame, name: str) -> str:
     return path
 
 
+def _as_numeric(df: DataFrame, *columns: str) -> DataFrame:
+    """Integers as a column of arbitrary precision may be printed."""
+    return df.withColumns({c: F.concat(F.col(c).cast("string"), F.lit(".0")) for c in columns})
+
+
 def load_trx(t: _Inputs) -> DataFrame:
-    loaded = csv.load_trx(t.trx.sparkSession, _written_csv(t.trx, "trx-csv"))
+    printed = _as_numeric(t.trx, "interno_bus", "etapa_red_sube", "id_linea", "id_ramal", "id_tarifa", "hora")
+    loaded = csv.load_trx(t.trx.sparkSession, _written_csv(printed, "trx-csv"))
     return _show(loaded, "id", "id_tarjeta", "modo", "lat_milli", "lon_milli", "sexo", "interno_bus", "tipo_trx_tren",
                  "etapa_red_sube", "id_linea", "id_ramal", "id_tarifa", "hora")
 
 
 def load_stops(t: _Inputs) -> DataFrame:
     # The stops file has the name before the coordinates.
-    loaded = csv.load_stops(t.stops.sparkSession, _written_csv(t.stops, "stops-csv"))
+    printed = _as_numeric(t.stops, "id_linea", "id_ramal")
+    loaded = csv.load_stops(t.stops.sparkSession, _written_csv(printed, "stops-csv"))
     return _show(loaded, "id", "id_linea", "id_ramal", "nombre_estacion", "longitud_milli", "latitud_milli", "h3")
 
 
+def load_fares(t: _Inputs) -> DataFrame:
+    loaded = csv.load_fares(t.fares.sparkSession, _written_csv(t.fares, "fares-csv"))
+    return loaded.select(F.col("id_tarifa").cast("long").alias("id_tarifa"), "descripcion",
+                         F.round(F.col("valor") * 100).cast("long").alias("centavos"))
+
+
 def load_lines(t: _Inputs) -> DataFrame:
     return csv.load_lines(t.lines.sparkSession, _written_csv(t.lines, "lines-csv"))
 
@@ -295,10 +324,14 @@ STEPS: dict[str, Callable[[_Inputs], DataFrame]] = {
     "cards": card_table,
     "od_georef": od_georef,
     "od_matrix": od_matrix,
+    "od_rollup": od_rollup,
+    "od_cube": od_cube,
+    "od_trips": od_trips,
     "load_trx": load_trx,
     "load_stops": load_stops,
     "load_lines": load_lines,
     "load_cells": load_cells,
+    "load_fares": load_fares,
     "sink_roundtrip": sink_roundtrip,
 }
 

@@ -2,7 +2,8 @@
 
 from pyspark.sql import types as T
 
-COORD = T.DecimalType(9, 6)
+# Six digits before the point and twelve behind it: as fast as a long, and no published coordinate has more.
+COORD = T.DecimalType(18, 12)
 
 TRX = T.StructType([
     T.StructField("id", T.LongType()),

@@ -107,6 +107,14 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shape(listed, schemas.LINES)
 
 
+def fares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per fare code that occurs, with a name and a price."""
+    code = F.get_json_object("props", "$.k").cast("long") % 8
+    return _table(spark, sf_dir, "events").groupBy(code.alias("id_tarifa")).agg(F.count("*").alias("n")).select(
+        "id_tarifa", F.concat(F.lit("Tarifa "), F.col("id_tarifa")).alias("descripcion"),
+        ((1800 + F.col("id_tarifa") * 25 + F.col("n") % 25).cast("decimal(9,0)") / F.lit(100)).cast("decimal(9,2)").alias("valor"))
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per cell that has a stop; nations are its departments, regions its provinces."""
     used = (
