@@ -2,7 +2,9 @@
 
 import hashlib
 import itertools
+import math
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -228,7 +230,7 @@ def test_html_skipped_elements_end_like_others(page):
     tree.feed(page)
     tree.close()
     out = []
-    html_text._blocks(tree.root, out)
+    html_text._blocks(html_text.without_surroundings(tree.root), out)
     assert "".join(out).split() in (["x", "y"], ["xy"]) and tree.links == 0
 
 
@@ -238,6 +240,59 @@ def test_html_skipped_paragraph_without_end_keeps_the_article():
         assert html_text.main_text(f"<html>{before}<div><p>{long}<p>{long}</div>").split() == (long + long).split()
 
 
+@pytest.mark.parametrize("page", [
+    "<div class='layout with-sidebar'>{}</div>", "<div class='layout with-sidebar'><article>{}</article></div>", "<div id=page class=nav-open>{}</div>",
+    "<div class='single-post no-comments'><main>{}</main></div>", "<div class='sidebar'><article>{}</article></div>", "<div class='page sidebar'>{}</div>",
+    "<span class=banner><div>{}</div></span>", "<article>{}<div class=related-posts><p>more</p></div><section id=comments><p>me too</p></section></article>",
+    "<div><div>{}</div><div class='comment-list'><p>" + "me too " * 60 + "</p></div></div>"])
+def test_html_names_do_not_outrank_the_text(page):
+    text = "<h2>Head</h2><p>{0}</p><p class=alert-story>{0}</p><p>{0}</p>".format("word " * 60)
+    assert html_text.main_text(f"<body>{page.format(text)}</body>").split() == ["Head"] + ["word"] * 180
+
+
+def test_html_short_article_beside_a_long_advert():
+    assert html_text.main_text("<div class=ad>Buy this and that and more.</div><article><p>x</p></article>") == "x"
+
+
+def test_html_deep_pages_take_time_in_proportion():
+    deep = 100_000
+    for start in ("<div>", "<b>", "<p><button><div>", "<div class=ad>", "<ul><li>"):
+        began = time.time()
+        assert html_text.main_text(start * deep + "text") in ("text", "")
+        assert time.time() - began < 20
+
+
+def test_html_density_sums_equal_their_definition(spark):
+    """The marked node against sums computed node by node from the formula."""
+    def size(node):
+        inner = [size(p) for p in node.parts if isinstance(p, html_text.Node)]
+        own = [sum(len(p.strip()) for p in node.parts if isinstance(p, str)), node.tags, node.link_chars, node.link_tags]
+        return [own[0] + sum(i[0] for i in inner), own[1] + sum(i[1] + 1 for i in inner), *(own[k] + sum(i[k] for i in inner) for k in (2, 3))]
+
+    def density(c, t, lc, lt, body):
+        base = math.log(max(1, c / max(1, c - lc) * lc + body[2] / max(1, body[0]) * c) + math.e)
+        return c / max(1, t) * math.log(max(1, c / max(1, lc) * max(1, t) / max(1, lt))) / math.log(base) if c else 0
+
+    def sums(node, body, out):
+        inner = [p for p in node.parts if isinstance(p, html_text.Node)]
+        sizes = [size(p) for p in inner]
+        whole = size(node)
+        rest = [whole[k] - sum(s[k] for s in sizes) for k in range(4)]
+        out.append(sum(density(*s, body) for s in sizes) + density(rest[0], 1, *rest[2:], body))
+        for p in inner:
+            sums(p, body, out)
+
+    for r in table(spark, "/root/testdata/sf0.01", "pages").collect():
+        tree = html_text.PageTree()
+        tree.feed(r["html"] or "")
+        tree.close()
+        root = html_text.without_surroundings(tree.root)
+        want = []
+        sums(root, size(root), want)
+        got = [n.sum for n in html_text.measure(root)]
+        assert np.allclose(sorted(got), sorted(want))
+
+
 def test_html_table(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>a</p>"), (3, "u", "<p>a</p>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
