@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripchain.llm.common import Scratch, mix64, odd_powers, slices, text_key, tidy
+from tripchain.llm.common import Scratch, free_name, mix64, odd_powers, slices, text_key, tidy
 
 #: Words of a gram. Longer ones are rarer, shorter ones make fewer and longer spans.
 GRAM = 14
@@ -325,10 +325,11 @@ def remove_repeats(docs: DataFrame, window: int = 35, scratch: Scratch | None =
 def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """The documents with the words in repeated windows cut out; texts without any stay as they are."""
     scratch, own = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
-    changed = own.keep(remove_repeats(docs, window, scratch).where("n_removed > 0").select(F.col("tk").alias("_tk"), F.col("kept").alias("_kept")), "changed")
+    key, kept = free_name(docs, "_tk"), free_name(docs, "_kept")
+    changed = own.keep(remove_repeats(docs, window, scratch).where("n_removed > 0").select(F.col("tk").alias(key), F.col("kept").alias(kept)), "changed")
     scratch.drop()
-    joined = docs.withColumn("_tk", text_key(F.col("text"))).join(changed, "_tk", "left")
-    text = F.coalesce("_kept", "text")
+    joined = docs.withColumn(key, text_key(F.col("text"))).join(changed, key, "left")
+    text = F.coalesce(kept, "text")
     return joined.withColumns({"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})).select(docs.columns)
 
 
