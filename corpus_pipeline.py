@@ -16,15 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripchain.llm import bpe, decontaminate, jaccard, quality, substrings
-from tripchain.llm.common import Scratch, table
+from tripchain.llm.common import Scratch, free_name, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
-    scored = quality.score(docs, quality.fit(docs, labels), name="_score")
-    return scored.where(F.col("_score") >= 0.3).select(docs.columns)
+    name = free_name(docs, "_score")
+    scored = quality.score(docs, quality.fit(docs, labels), name=name)
+    return scored.where(F.col(name) >= 0.3).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, exact); exact says that decoding gave the text again."""
     path = public_tokenizers.path(VOCABULARY)
-    both = bpe.encode_and_decode(docs, path)
+    both = bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), path)
     return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
 
@@ -55,7 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
+    docs, read = table(spark, sf_dir, "documents"), Scratch(spark)
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        written = Scratch(spark)
+        try:
+            docs = written.keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        finally:
+            read.drop()  # what the stage has read
+        read = written
     return docs
