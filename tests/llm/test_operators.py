@@ -352,6 +352,38 @@ def test_ann_opens_more_lists_where_few_do_not_find_enough(spark, monkeypatch):
     assert sum(len(set(near[q]) & set(own["vec_id"])) for q, own in got.groupby("query_id")) >= 0.9 * 600
 
 
+def test_ann_graph_leads_to_the_nearest_lists():
+    rng = np.random.default_rng(6)
+    centroids, queries = rng.standard_normal((3000, 64)), rng.standard_normal((40, 64))
+    graph = ann.CentroidGraph(centroids)
+    order = np.argsort(ann.squares(queries, centroids), axis=1)
+    for wanted in (64, 512):
+        near, far = graph.nearest(queries, wanted)
+        assert (np.diff(far, axis=1) >= 0).all() and all(len(set(n)) == wanted for n in near)
+        assert np.mean([len(set(n) & set(o[:wanted])) / wanted for n, o in zip(near, order)]) > 0.85
+    # The ring of links leads everywhere, also between far heaps.
+    heaps = np.concatenate([rng.standard_normal((200, 8)) + 1000 * i for i in range(3)])
+    assert all(sorted(n) == list(range(600)) for n in ann.CentroidGraph(heaps).nearest(heaps[:5], 600)[0])
+
+
+def test_ann_ratio_follows_the_data():
+    """Heaps far from each other need one list, and a query that sits on a centroid opens more than that one; random vectors need many."""
+    rng = np.random.default_rng(8)
+    heaps = np.repeat(10 * rng.standard_normal((100, 16)), 40, axis=0) + 0.1 * rng.standard_normal((4000, 16))
+    for vectors, most in ((heaps, 8), (rng.standard_normal((4000, 16)), 64)):
+        index = ann.Index(ann.balanced_centroids(vectors, 100))
+        queries = np.concatenate([vectors[::100], index.centroids[:20]])
+        near = np.argsort(ann.squares(queries, vectors), axis=1)[:, :10]
+        known = queries, np.repeat(np.arange(len(queries)), 10), vectors[near.ravel()]
+        index.widen(*known)
+        assert index.recall(*known) >= ann.RECALL and index.ratio < 10
+        assert len(index.probes(queries)[0]) <= most * len(queries)
+
+
+def test_ann_lists_grow_with_the_rows_within_their_bound():
+    assert [ann.lists_for(n) for n in (1, 64, 2000, 10**5, 10**6)] == [1, 1, 32, 1265, 4001] and ann.lists_for(10**12) == ann.MAX_LISTS
+
+
 def test_empty_tables(spark, none):
     benchmark = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.report(none, benchmark).count() == 0

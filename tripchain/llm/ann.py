@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by balanced posting lists (Euclidean distance, double precision).
 
-Centroids are fitted by balanced halving on a bounded sample: at most ``MAX_LISTS`` of them on at most ``SAMPLE_PER_LIST`` rows each. Every
-vector is then indexed: it goes to its nearest list and, near a border, to up to ``REPLICAS`` lists in all. A query walks a
-graph over the centroids, held in memory, and opens the lists whose centroid is within a ratio of the distance of the nearest.
-How many and how far is measured on every input: ``TRIED`` query vectors are compared with all rows, and from ``PROBES`` and ``RATIO`` on both are
-doubled until ``RECALL`` of what they should find lies in opened lists, at the end all lists. Lists are read in blocks of bounded size, so a heavy list is many tasks. Distances are computed on the original vectors.
+Centroids are fitted by balanced halving on a bounded sample (``SAMPLE`` rows). Their number grows with the rows, at first one for ``LIST_ROWS`` rows,
+then with the root of the rows, up to ``MAX_LISTS``, so that what every task holds has a bound. Every vector is indexed: it goes to its nearest list
+and, near a border, to up to ``REPLICAS`` lists in all. At every size a query walks a graph over the centroids, held in memory, best first with a beam,
+and opens those of the nearest lists whose centroid is within a ratio of the nearest one's distance (or of a list's own width, if that is more).
+Both bounds are measured on every input: ``TRIED`` query vectors are compared with all rows; from ``PROBES`` on, the lists are doubled until ``RECALL``
+of what they should find lies in opened lists, and then the smallest ratio is taken that keeps this share. Lists are read in blocks of bounded size, so a
+heavy list is many tasks. Distances are computed on the original vectors.
 
 Of vectors that are equal in all components only the k+1 smallest ids can ever be in an answer, as ties go to the smaller id; only those
 are listed. Equal query vectors are searched once. A query whose lists hold too few vectors is searched in all lists.
@@ -16,6 +18,8 @@ empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -24,30 +28,47 @@ from pyspark.sql import functions as F
 from tripchain.llm.common import Scratch
 
 #: Bounds of the fitted part: they hold at every size of the input.
-MAX_LISTS, SAMPLE_PER_LIST = 4096, 16
-LIST_ROWS = 64
+MAX_LISTS, SAMPLE = 65_536, 262_144
+#: Sampled rows for a list, rows for a list, and lists for the root of the rows.
+SAMPLE_PER_LIST, LIST_ROWS, ROOT_LISTS = 16, 64, 4
 REPLICAS, REPLICA_RATIO = 6, 1.25
-#: Lists that a query opens at first, and how much farther than the nearest they may be.
-RATIO, PROBES = 1.6, 64
+#: Lists that a query opens at first, and the steps by which the distance ratio goes up from 1 (each twice the one before).
+PROBES, RATIO_STEP, RATIO_STEPS = 64, 0.0625, 40
 #: Query vectors whose answers are counted, and the share of their neighbours to be found: over the wanted 0.9 by more than the count's error.
 TRIED, RECALL = 256, 0.95
 BLOCK_ROWS = 8192
-DEGREE = 16
+#: Links of a centroid to near ones and to far ones, and centroids of the beam that a step of the walk follows.
+DEGREE, FAR, FOLLOWED = 16, 4, 8
+#: Distances held at once by one piece of work.
+CELLS = 1 << 22
 
 
 def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
 
 
+def pieces(rows: int, width: int) -> range:
+    """Starts of runs of rows for which ``width`` numbers each may be held."""
+    return range(0, rows, run_of(width))
+
+
+def run_of(width: int) -> int:
+    return max(1, min(1024, CELLS // width))
+
+
+def lists_for(rows: int) -> int:
+    return max(1, min(MAX_LISTS, -(-rows // LIST_ROWS), int(ROOT_LISTS * rows**0.5) + 1))
+
+
 def balanced_centroids(sample: np.ndarray, lists: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     """Split into halves of equal size, largest part first, then move each centroid to the mean of what is nearest to it."""
     rng = np.random.default_rng(seed)
-    parts = [np.unique(sample, axis=0)]
+    parts = deque([np.unique(sample, axis=0)])
     while len(parts) < lists:
-        parts.sort(key=len)
-        part = parts.pop()
+        # Halves go to the end, so the first part is a largest one (but for one row).
+        part = parts.popleft()
         if len(part) < 2:
-            parts.append(part)
+            parts.appendleft(part)
             break
         centre = part[rng.choice(len(part), 2, replace=False)]
         for _ in range(rounds):
@@ -55,10 +76,11 @@ def balanced_centroids(sample: np.ndarray, lists: int, rounds: int = 8, seed: in
             order = np.argsort(lean, kind="stable")
             halves = part[order[: len(part) // 2]], part[order[len(part) // 2 :]]
             centre = np.array([h.mean(0) for h in halves])
-        parts += halves
+        parts.extend(sorted(halves, key=len, reverse=True))
     centroids = np.array([p.mean(0) for p in parts])
     for _ in range(2):
-        nearest = np.concatenate([squares(sample[i : i + 4096], centroids).argmin(1) for i in range(0, len(sample), 4096)])
+        run = run_of(len(centroids))
+        nearest = np.concatenate([squares(sample[i : i + run], centroids).argmin(1) for i in pieces(len(sample), len(centroids))])
         size = np.bincount(nearest, minlength=len(centroids))
         total = np.zeros_like(centroids)
         np.add.at(total, nearest, sample)
@@ -74,48 +96,61 @@ class CentroidGraph:
         n = len(centroids)
         near = min(DEGREE, n - 1)
         rng = np.random.default_rng(seed)
-        self.links = np.empty((n, near + min(4, n)), np.int64)
-        for i in range(0, n, 1024):
-            d = squares(centroids[i : i + 1024], centroids)
+        self.links = np.empty((n, near + FAR), np.int32)
+        run = run_of(n)
+        for i in pieces(n, n):
+            d = squares(centroids[i : i + run], centroids)
             d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
-            self.links[i : i + 1024, :near] = np.argsort(d, axis=1)[:, :near]
-        self.links[:, near:] = rng.integers(0, n, (n, self.links.shape[1] - near))
-        self.entries = rng.choice(n, min(n, 8), replace=False)
+            self.links[i : i + run, :near] = np.argpartition(d, near - 1, axis=1)[:, :near] if near else 0
+        self.links[:, near:] = rng.integers(0, n, (n, FAR))
+        # One far link follows a ring through all centroids, so that each can be reached from each.
+        ring = rng.permutation(n)
+        self.links[ring, near] = np.roll(ring, -1)
+        self.entries = rng.choice(n, min(n, FOLLOWED), replace=False)
 
     def nearest(self, queries: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
         """(centroids, squared distances), nearest first, up to ``wanted`` of them each (missing: -1 and infinity)."""
+        run = run_of(len(self.centroids))
+        found = [self._walk(queries[i : i + run], wanted) for i in pieces(len(queries), len(self.centroids))]
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def _walk(self, queries: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+        """A beam half as wide again as what is wanted; each step follows the links of its best centroids not followed yet."""
         n, q = len(self.centroids), len(queries)
-        width = min(n, 2 * wanted)
-        seen, opened = np.zeros((q, n), bool), np.zeros((q, n), bool)
+        width = min(n, wanted + max(wanted // 2, 2 * FOLLOWED))
+        seen = np.zeros((q, n), bool)
         seen[:, self.entries] = True
-        beam = np.broadcast_to(self.entries, (q, len(self.entries))).copy()
-        far = squares(queries, self.centroids[self.entries])
-        rows = np.arange(q)[:, None]
-        while True:
-            waiting = np.where((beam >= 0) & ~opened[rows, beam], far, np.inf)
-            best = waiting.argmin(1)
-            live = np.flatnonzero(np.isfinite(waiting[np.arange(q), best]))
+        first = np.empty((q, n), np.int16)
+        beam, far = np.full((q, width), -1, np.int32), np.full((q, width), np.inf)
+        beam[:, : len(self.entries)] = self.entries
+        far[:, : len(self.entries)] = squares(queries, self.centroids[self.entries])
+        waiting = far.copy()
+        live = np.arange(q)
+        while len(live):
+            ahead = min(FOLLOWED, width)
+            best = np.argpartition(waiting[live], ahead - 1, axis=1)[:, :ahead]
+            open_ = np.isfinite(waiting[live[:, None], best])
+            live, best, open_ = live[open_.any(1)], best[open_.any(1)], open_[open_.any(1)]
             if not len(live):
                 break
-            node = beam[live, best[live]]
-            opened[live, node] = True
-            next_ = self.links[node]
-            new = ~seen[live[:, None], next_]
-            seen[live[:, None], next_] = True
-            # A link that stands twice in a line is taken once.
-            twice = np.sort(next_, axis=1)
-            if (twice[:, 1:] == twice[:, :-1]).any():
-                first = (next_[:, :, None] == next_[:, None, :]).argmax(2) == np.arange(next_.shape[1])
-                new &= first
-            gap = queries[live][:, None, :] - self.centroids[next_]
-            d = np.where(new, np.einsum("ijk,ijk->ij", gap, gap), np.inf)
-            if beam.shape[1] < width:
-                extra = width - beam.shape[1]
-                beam = np.hstack([beam, np.full((q, extra), -1)])
-                far = np.hstack([far, np.full((q, extra), np.inf)])
-            both, where = np.hstack([far[live], d]), np.hstack([beam[live], np.where(new, next_, -1)])
-            keep = np.argsort(both, axis=1, kind="stable")[:, : beam.shape[1]]
-            far[live], beam[live] = np.take_along_axis(both, keep, 1), np.take_along_axis(where, keep, 1)
+            row = live[:, None]
+            node = np.where(open_, beam[row, best], self.entries[0])
+            waiting[row, best] = np.inf
+            next_ = self.links[node].reshape(len(live), -1)
+            # Of equal links of one step the one that was written last is taken.
+            at = np.arange(next_.shape[1], dtype=np.int16)
+            first[row, next_] = at
+            new = ~seen[row, next_] & (first[row, next_] == at)
+            seen[row, next_] = True
+            which, column = np.nonzero(new)
+            gap = queries[live[which]] - self.centroids[next_[which, column]]
+            d = np.full(next_.shape, np.inf)
+            d[which, column] = np.einsum("ij,ij->i", gap, gap)
+            both = np.hstack([far[live], d])
+            keep = np.argpartition(both, width - 1, axis=1)[:, :width]
+            far[live] = np.take_along_axis(both, keep, 1)
+            beam[live] = np.take_along_axis(np.hstack([beam[live], np.where(new, next_, -1)]), keep, 1)
+            waiting[live] = np.take_along_axis(np.hstack([waiting[live], d]), keep, 1)
         order = np.argsort(far, axis=1, kind="stable")[:, :wanted]
         return np.take_along_axis(beam, order, 1), np.take_along_axis(far, order, 1)
 
@@ -125,62 +160,82 @@ class Index:
 
     def __init__(self, centroids: np.ndarray):
         self.centroids, self.graph = centroids, CentroidGraph(centroids)
-        self.opened, self.ratio = PROBES, RATIO
+        self.opened, self.ratio = min(PROBES, len(centroids)), 1.0
+        # A list's width: the usual distance from its centroid to the next one. A query may sit on a centroid.
+        self.width = float(np.sqrt(np.median(self.graph.nearest(centroids, 2)[1][:, 1]))) if len(centroids) > 1 else 0.0
 
     def lists_of(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(vector, list) pairs: the nearest list, and further ones near a border that no nearer chosen list covers."""
-        d = np.sqrt(squares(vectors, self.centroids))
+        run = run_of(len(self.centroids))
+        found = [self._lists_of(vectors[i : i + run], i) for i in pieces(len(vectors), len(self.centroids))]
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def _lists_of(self, vectors: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+        d = squares(vectors, self.centroids)
         m = min(REPLICAS, d.shape[1])
-        near = np.argsort(d, axis=1, kind="stable")[:, :m]
-        far = np.take_along_axis(d, near, 1)
+        near = np.argpartition(d, m - 1, axis=1)[:, :m]
+        far = np.sqrt(np.take_along_axis(d, near, 1))
+        order = np.argsort(far, axis=1, kind="stable")
+        near, far = np.take_along_axis(near, order, 1), np.take_along_axis(far, order, 1)
         taken = far <= REPLICA_RATIO * far[:, :1]
         for j in range(1, m):
             for i in range(j):
                 between = ((self.centroids[near[:, j]] - self.centroids[near[:, i]]) ** 2).sum(1)
                 taken[:, j] &= ~(taken[:, i] & (np.sqrt(between) < 0.5 * far[:, j]))
         row, at = np.nonzero(taken)
-        return row, near[row, at]
+        return row + start, near[row, at]
+
+    def walked(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lists, distance ratios) of the nearest lists that the graph leads to; a missing one has an infinite ratio."""
+        near, far = self.graph.nearest(vectors, self.opened)
+        far = np.sqrt(far)
+        least = np.maximum(np.maximum(far[:, :1], self.width), 1e-12)
+        return near, np.where(near >= 0, far / least, np.inf)
 
     def probes(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if self.opened <= PROBES and self.ratio < np.inf:
-            near, far = self.graph.nearest(vectors, min(self.opened, len(self.centroids)))
-        else:
-            # For many lists it is cheaper to rank all centroids than to walk the graph.
-            far = squares(vectors, self.centroids)
-            near = np.argsort(far, axis=1, kind="stable")[:, : self.opened]
-            far = np.take_along_axis(far, near, 1)
-        reach = self.ratio * np.sqrt(far[:, :1]) + 1e-12 if self.ratio < np.inf else np.inf
-        row, at = np.nonzero((near >= 0) & (np.sqrt(far) <= reach))
+        near, ratio = self.walked(vectors)
+        row, at = np.nonzero(ratio <= self.ratio)
         return row, near[row, at]
 
+    def needed(self, queries: np.ndarray, row: np.ndarray, neighbours: np.ndarray) -> np.ndarray:
+        """The smallest ratio with which each of ``neighbours``, one of query ``row``, lies in an opened list (infinite: in none that the walk gives)."""
+        near, ratio = self.walked(queries)
+        reach = np.full((len(queries), len(self.centroids)), np.inf)
+        query, place = np.nonzero(near >= 0)
+        reach[query, near[query, place]] = ratio[query, place]
+        least = np.full(len(neighbours), np.inf)
+        if len(neighbours):
+            at, lists = self.lists_of(neighbours)
+            np.minimum.at(least, at, reach[row[at], lists])
+        return least
+
     def recall(self, queries: np.ndarray, row: np.ndarray, neighbours: np.ndarray) -> float:
-        """The share of ``neighbours``, each one of query ``row``, that lie in a list which the query opens."""
-        opens = np.zeros((len(queries), len(self.centroids)), bool)
-        for i in range(0, len(queries), 1024):
-            at, lists = self.probes(queries[i : i + 1024])
-            opens[i + at, lists] = True
-        found = np.zeros(len(neighbours), bool)
-        for i in range(0, len(neighbours), 1024):
-            at, lists = self.lists_of(neighbours[i : i + 1024])
-            np.logical_or.at(found, i + at, opens[row[i + at], lists])
-        return float(found.mean()) if len(found) else 1.0
+        """The share of ``neighbours`` that lie in a list which their query opens."""
+        least = self.needed(queries, row, neighbours)
+        return float((least <= self.ratio).mean()) if len(least) else 1.0
 
     def widen(self, queries: np.ndarray, row: np.ndarray, neighbours: np.ndarray) -> None:
-        """Open more lists, and farther ones, until enough of the known neighbours are found."""
-        while self.ratio < np.inf and self.recall(queries, row, neighbours) < RECALL:
-            if self.opened >= len(self.centroids):
-                self.ratio = np.inf
-            else:
-                self.opened, self.ratio = 2 * self.opened, 2 * self.ratio - 1
+        """Open twice as many lists until enough of the known neighbours lie in them, then take the smallest ratio that keeps enough."""
+        while True:
+            least = self.needed(queries, row, neighbours)
+            if self.opened >= len(self.centroids) or np.isfinite(least).sum() >= RECALL * len(least):
+                break
+            self.opened = min(2 * self.opened, len(self.centroids))
+        for step in range(RATIO_STEPS):
+            self.ratio = 1 + RATIO_STEP * 2**step
+            if len(least) and (least <= self.ratio).sum() >= RECALL * len(least):
+                break
 
 
 def _spread(index: Index, rows: DataFrame, which: str) -> DataFrame:
     """(list, vec_id, embedding): a row for each list that a vector is in, or that a query opens."""
+    sent = rows.sparkSession.sparkContext.broadcast(index)  # bounded by MAX_LISTS
+
     def run(batches):
         for pdf in batches:
             for i in range(0, len(pdf), 1024):
                 part = pdf.iloc[i : i + 1024]
-                row, found = getattr(index, which)(np.array(part["embedding"].tolist(), np.float64))
+                row, found = getattr(sent.value, which)(np.array(part["embedding"].tolist(), np.float64))
                 yield part.iloc[row].assign(list=found.astype(np.int32))
     return rows.mapInPandas(run, f"vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}, list int").select("list", "vec_id", "embedding")
 
@@ -280,8 +335,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec
     if not n:
         scratch.drop()
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    lists = max(1, min(MAX_LISTS, -(-n // LIST_ROWS)))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(lists * SAMPLE_PER_LIST).select("embedding").toPandas()
+    lists = lists_for(n)
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(SAMPLE, lists * SAMPLE_PER_LIST)).select("embedding").toPandas()
     index = Index(balanced_centroids(np.array(sample["embedding"].tolist(), np.float64), lists))
     listed = rows.withColumn("place", F.row_number().over(same)).where(F.col("place") <= k + 1).drop("place")
     postings = scratch.keep(_spread(index, listed, "lists_of"), "ann-lists")
