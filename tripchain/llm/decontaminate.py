@@ -1,12 +1,12 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-Words are ids here: a word of the benchmark has its own, every other word is 1, and ends of runs are 1 too; a single 0 ends the string. A shard is a run of documents of
-bounded size inside one task. Its word string is indexed (suffix order, Burrows-Wheeler transform, wavelet matrix with rank
-directories, every 16th text place sampled), all windows of the benchmark are searched backwards at once, occurrences
-are located by stepping to the next sampled place, and the spans of a document are merged. An occurrence lies in an unbroken run of
-benchmark words, so runs too short for any window are left out of the string that is indexed; each text is read whole.
+Words are ids here: those of the benchmark come first, every other word of the shard has its own too, ends of texts are 1, and a single 0 ends the string. A shard is a run
+of documents of bounded size inside one task. Its whole word string is indexed (suffix order, Burrows-Wheeler transform, wavelet matrix of packed bits with
+a count for every 64 of them, every 16th text place sampled), all windows of the benchmark are searched backwards at once, occurrences
+are located by stepping to the next sampled place, and the spans of a document are merged.
 
-The benchmark is sent to the tasks in blocks of a bounded number of bytes; a larger benchmark is worked off block by block.
+The benchmark's items are dealt to blocks of a bounded number of bytes (an item is never cut), written as a table, and searched one block after the other:
+only one block is read, sent to the tasks and held by them at a time. Between two blocks the texts with the spans found so far are written to the shared folder.
 
 Defined cases: null and empty texts have no words; a text is one row of the result however often its id occurs; items without words have no
 windows; an item with a null id is left out; items that share an id count once; an empty benchmark marks nothing; other columns are not read.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripchain.llm.common import Run, slices, tidy
+from tripchain.llm.common import Run, Scratch, slices, tidy
 
 #: Benchmark text sent to the tasks at once.
 BLOCK_BYTES = 16 << 20
@@ -42,39 +42,55 @@ class Wavelet:
     """Wavelet matrix: rank of a symbol before a place, for many (symbol, place) pairs at once."""
 
     def __init__(self, symbols: np.ndarray, bits: int):
-        self.bits, self.ones, self.zeros = bits, [], []
+        self.bits, self.words, self.before, self.zeros = bits, [], [], []
         for level in range(bits - 1, -1, -1):
-            bit = (symbols >> level) & 1
-            ones = np.zeros(len(symbols) + 1, np.int32)
-            np.cumsum(bit, out=ones[1:])
-            self.ones.append(ones)
-            self.zeros.append(len(symbols) - int(ones[-1]))
-            symbols = np.concatenate([symbols[bit == 0], symbols[bit == 1]])
+            bit = ((symbols >> level) & 1).astype(bool)
+            # One word more than the bits need, so that the place after the last one has a word.
+            packed = np.zeros(8 * (len(bit) // 64 + 1), np.uint8)
+            packed[: -(-len(bit) // 8)] = np.packbits(bit, bitorder="little")
+            words = packed.view("<u8")
+            before = np.zeros(len(words) + 1, np.int64)
+            np.cumsum(np.bitwise_count(words), out=before[1:])
+            self.words.append(words)
+            self.before.append(before[:-1])
+            self.zeros.append(len(bit) - int(before[-1]))
+            symbols = np.concatenate([symbols[~bit], symbols[bit]])
+
+    def _ones(self, level: int, place: np.ndarray) -> np.ndarray:
+        at = place >> 6
+        below = (np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[level][at] + np.bitwise_count(self.words[level][at] & below)
 
     def rank(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
         low, high = np.zeros_like(place), place
-        for k, (ones, zeros) in enumerate(zip(self.ones, self.zeros)):
+        for k, zeros in enumerate(self.zeros):
             bit = ((symbol >> (self.bits - 1 - k)) & 1).astype(bool)
-            low = np.where(bit, zeros + ones[low], low - ones[low])
-            high = np.where(bit, zeros + ones[high], high - ones[high])
+            ones = self._ones(k, low), self._ones(k, high)
+            low = np.where(bit, zeros + ones[0], low - ones[0])
+            high = np.where(bit, zeros + ones[1], high - ones[1])
         return high - low
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling."""
+    """Suffix array by prefix doubling; only suffixes that are still alike are sorted again. ``symbols`` ends in its only 0."""
     n = len(symbols)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    step = 1
+    order = np.argsort(symbols, kind="stable")
+    key, places = symbols[order], np.arange(n)
+    suffix, rank, step = order, np.empty(n, np.int64), 1
     while True:
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] + 1
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        step *= 2
-        if rank[order[-1]] == n - 1 or step >= n:
+        # A rank is the first place of those that are alike.
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[suffix] = np.maximum.accumulate(np.where(new, places, 0))
+        places = places[~(new & np.concatenate([new[1:], [True]]))]
+        if not len(places):
             return order
+        suffix = order[places]
+        # Suffixes that are alike are longer than the step, as the 0 stands once.
+        key = rank[suffix] * n + rank[suffix + step]
+        by = np.argsort(key, kind="stable")
+        suffix, key = suffix[by], key[by]
+        order[places] = suffix
+        step *= 2
 
 
 class FmIndex:
@@ -130,32 +146,26 @@ class Phrases:
         for i, w in enumerate(windows):
             self.patterns[i, n - len(w) :] = w
         self.holders = [np.array(sorted(number[item] for item in found)) for found in windows.values()]
-        self.shortest = int(self.length.min()) if windows else 0
 
     def spans(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, first word, window) of every occurrence in the documents of a shard."""
         none = np.empty(0, np.int64)
         if not len(self.length):
             return none, none, none
-        get, sizes = self.ids.get, np.array([len(d) for d in docs], np.int64)
-        flat = np.ones(int(sizes.sum()) + len(docs), np.int64)
+        sizes = np.array([len(d) for d in docs], np.int64)
+        flat = np.ones(int(sizes.sum()) + len(docs) + 1, np.int64)
+        flat[-1] = 0
         starts = np.concatenate([[0], np.cumsum(sizes + 1)])
+        ids = dict(self.ids)
+        number = ids.setdefault
         for i, words in enumerate(docs):
-            flat[starts[i] : starts[i] + len(words)] = [get(w, 1) for w in words]
-        # Runs of benchmark words that can hold a window, each with an end mark.
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], flat > 1, [0]]).astype(np.int8)))
-        first, end = edge[::2], edge[1::2]
-        kept = end - first >= self.shortest
-        first, length = first[kept], (end - first)[kept] + 1
-        if not len(first):
-            return none, none, none
-        at = np.repeat(first - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
-        index = FmIndex(np.append(flat[at], 0), len(self.ids) + 2)
+            flat[starts[i] : starts[i] + len(words)] = [number(w, len(ids) + 2) for w in words]
+        index = FmIndex(flat, len(ids) + 2)
         low, high = index.search(self.patterns)
         hits = high - low
         window = np.repeat(np.arange(len(hits)), hits)
         rows = np.repeat(low, hits) + np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits)
-        place = at[index.locate(rows)]
+        place = index.locate(rows)
         doc = np.searchsorted(starts, place, side="right") - 1
         return doc, place - starts[doc], window
 
@@ -168,32 +178,38 @@ def merged(first: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(first[new].tolist(), end[np.concatenate([new[1:], [True]])].tolist()))
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[str, bytes]]]:
-    block, held = [], 0
-    rows = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string"), F.coalesce(F.col(text), F.lit("")))
-    for item, said in rows.toLocalIterator():
-        said = said.encode()
-        if block and held + len(said) > BLOCK_BYTES:
-            yield block
-            block, held = [], 0
-        block.append((item, said))
-        held += len(said)
-    yield block
-
-
-def _search(docs: DataFrame, benchmark: DataFrame, n: int, extra: list[str], text: str, item_id: str, item_text: str) -> tuple[DataFrame, Run]:
-    """What a search reads, with the extra columns by number, and the search through all blocks of the benchmark in one Python pass."""
-    sc = docs.sparkSession.sparkContext
-    rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(extra)], F.col(text).alias("_text"),
-                       F.lit(None).cast("array<struct<first:long,end:long>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"),
-                       F.lit(0).cast("long").alias("n_words"))
-    blocks = [_searcher(sc.broadcast(block), n) for block in _blocks(benchmark, item_id, item_text)]
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for one in blocks:
-            batches = one(batches)
-        return batches
-    return rows, search
+class _Search:
+    """A search for all blocks of the benchmark. ``rows`` are the documents, with the extra columns by number, as all blocks but the last have left them;
+    ``last`` is the search for the last one. Without a further block nothing is written."""
+
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, n: int, extra: list[str], text: str, item_id: str, item_text: str):
+        self.scratch = Scratch(docs.sparkSession)
+        said = F.coalesce(F.col(item_text), F.lit("")).cast("binary")
+        items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("item"), said.alias("said"))
+        size = items.agg(F.sum(F.length("said"))).first()[0] or 0
+        # Half of what a block may hold on average; an item id is in one block.
+        blocks = max(1, -(-2 * size // BLOCK_BYTES))
+        if blocks > 1:
+            items = self.scratch.keep(items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks))), "benchmark-blocks")
+        self.rows = docs.select(
+            *[F.col(c).alias(f"_{i}") for i, c in enumerate(extra)], F.col(text).alias("_text"),
+            F.lit(None).cast("array<struct<first:long,end:long>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"),
+            F.lit(0).cast("long").alias("n_words"))
+        for block in range(blocks):
+            own = items.where(F.col("block") == block) if blocks > 1 else items
+            sent = docs.sparkSession.sparkContext.broadcast([(r["item"], bytes(r["said"])) for r in own.toLocalIterator()])  # one block
+            self.last = _searcher(sent, n)
+            if block < blocks - 1:
+                self.rows = self.scratch.keep(self.rows.mapInArrow(tidy(self.last), self.rows.schema), "searched")
+                sent.unpersist()
+
+    def finish(self, found: DataFrame) -> DataFrame:
+        """The result; where it rests on written tables it is written too, and those go."""
+        if not self.scratch.paths:
+            return found
+        kept = Scratch(found.sparkSession).keep(found, "decontaminated")
+        self.scratch.drop()
+        return kept
 
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, extra: tuple[str, ...] = (), text: str = "text",
@@ -202,9 +218,9 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, extra: tuple[
 
     A benchmark of more than one block adds a search of the same texts for each further block.
     """
-    rows, search = _search(docs, benchmark, n, list(extra), text, item_id, item_text)
-    found = rows.mapInArrow(tidy(search), rows.schema)
-    return found.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(extra)], F.col("_text").alias(text), "n_words", "spans", "items")
+    search = _Search(docs, benchmark, n, list(extra), text, item_id, item_text)
+    found = search.rows.mapInArrow(tidy(search.last), search.rows.schema)
+    return search.finish(found.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(extra)], F.col("_text").alias(text), "n_words", "spans", "items"))
 
 
 def _searcher(sent, n: int) -> Run:
@@ -253,19 +269,19 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """The documents with the merged spans cut out of their texts; other texts stay as they are."""
     columns = docs.columns
     others = [c for c in columns if c != "text"]
-    rows, search = _search(docs, benchmark, n, others, "text", "item_id", "text")
-    kept = [f"_{i}" for i in range(len(others))] + ["_text"]
+    search = _Search(docs, benchmark, n, others, "text", "item_id", "text")
+    kept, run = [f"_{i}" for i in range(len(others))] + ["_text"], search.last
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in search(batches):
+        for batch in run(batches):
             texts, spans = batch.column("_text").to_pylist(), batch.column("spans").to_pylist()
             said = [cut_spans(t.encode(), [(s["first"], s["end"]) for s in x]).decode() if x else t for t, x in zip(texts, spans)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(said, pa.string())], names=kept)
 
-    out = rows.mapInArrow(tidy(cut), rows.select(kept).schema).toDF(*others, "text")
+    out = search.rows.mapInArrow(tidy(cut), search.rows.select(kept).schema).toDF(*others, "text")
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(columns)
+    return search.finish(out.select(columns))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
