@@ -8,12 +8,13 @@ import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tripchain.llm import ann, bpe, chat, decontaminate, html_text, jaccard, quality, sharding, substrings, token_counts
-from tripchain.llm.common import Scratch, table
+from tripchain.llm import ann, bpe, chat, common, decontaminate, html_text, jaccard, quality, sharding, substrings, token_counts
+from tripchain.llm.common import Scratch, by_part, parts_of, runs_of_parts, table
 from tripchain.llm.components import components
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -127,6 +128,31 @@ def test_jaccard_links_very_long_texts_of_unequal_length(spark):
     assert {r["component_id"] for r in jaccard.join_documents(docs).collect()} == {0}
 
 
+def test_records_are_compared_in_parts_of_bounded_size(spark, docs, corpus, none, monkeypatch):
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert parts_of(docs) == parts_of(none) == (partitions, common.PARTS * partitions)
+    monkeypatch.setattr(common, "PARTITION_BYTES", 10_000)
+    monkeypatch.setattr(common, "PART_BYTES", 500)
+    size = sum(len((t or "").encode()) for _, t in corpus)
+    assert parts_of(docs) == (-(-size // 10_000), -(-size // 500))
+    assert sorted(tuple(r) for r in jaccard.join_documents(docs).collect()) == sorted(components_by_hand(corpus))
+    assert sorted(tuple(r) for r in substrings.report(docs).collect()) == sorted(
+        (i, *x) for (i, _), x in zip(corpus, windows_removed([t for _, t in corpus], 35)))
+
+
+def test_parts_come_back_whole_and_one_at_a_time():
+    record = np.zeros(5000, jaccard.RECORD)
+    record["token"], record["sid"] = np.random.default_rng(5).integers(0, 300, 5000), np.arange(5000)
+    batches = [pa.RecordBatch.from_pydict({"part": part, "blob": blob}) for part, blob in by_part(record, record["token"], 40, most=1600)]
+    assert max(len(blob) for b in batches for blob in b.column(1).to_pylist()) <= 1600
+    rows = pa.Table.from_batches([*batches, pa.RecordBatch.from_pydict({"part": pa.array([-1, -1], pa.int32()), "blob": pa.array([record[:2].tobytes()] * 2)})])
+    runs = list(runs_of_parts(iter(rows.sort_by("part").to_batches(max_chunksize=7)), jaccard.RECORD))
+    assert [part for part, _ in runs] == [-1, -1, *range(40)]
+    assert all((got["token"] % 40 == part).all() for part, got in runs[2:])
+    assert sorted(np.concatenate([got["sid"] for _, got in runs[2:]])) == list(range(5000))
+    assert not list(by_part(record[:0], record["token"][:0], 40)) and not list(runs_of_parts(iter([]), jaccard.RECORD))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (101, 100)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}

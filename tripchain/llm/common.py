@@ -15,6 +15,10 @@ from tripchain.session import scratch_path
 
 #: Texts of about this many bytes are worked on at once inside a task.
 SLICE_BYTES = 4 << 20
+#: Records that a task compares with each other come from about this many bytes of text; those that one shuffled partition holds, from this many.
+PART_BYTES, PARTITION_BYTES = 16 << 20, 128 << 20
+#: Parts of a shuffled partition, at least: with few, some partitions hold several and others none.
+PARTS = 8
 
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -37,6 +41,12 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths, self.tables = spark, [], []
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure: object) -> None:
+        self.drop()
+
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch_path(self.spark, name)
         df.write.option("compression", "zstd").parquet(path)
@@ -95,6 +105,40 @@ def tidy(run: Run) -> Run:
     return tidied
 
 
+def parts_of(docs: DataFrame, column: str = "text") -> tuple[int, int]:
+    """Shuffle partitions and parts for records made from the texts, by their counted bytes, so that neither grows in size with the input."""
+    size = docs.agg(F.sum(F.octet_length(column)).alias("size")).first()["size"] or 0
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
+    return partitions, max(PARTS * partitions, -(-size // PART_BYTES))
+
+
+def by_part(record: np.ndarray, key: np.ndarray, parts: int, most: int = SLICE_BYTES) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Columns (part, blob) of records dealt by key: a blob holds records of one part, a pair of columns about ``most`` bytes."""
+    part = (key % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    record, part, step = record[order], part[order], max(1, most // record.itemsize)
+    for i in range(0, len(record), step):
+        some = part[i : i + step]
+        first = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
+        places = (np.append(first, len(some)) * record.itemsize).astype(np.int32)
+        blobs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(places), pa.py_buffer(record[i : i + step].tobytes())])
+        yield pa.array(some[first]), blobs
+
+
+def runs_of_parts(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, records) from rows (part, blob) sorted by part; only one part is held at once. Rows of a negative part come one by one."""
+    part, held = None, []
+    for batch in batches:
+        for here, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if held and (here != part or here < 0):
+                yield part, np.frombuffer(b"".join(held), kind)
+                held = []
+            part = here
+            held.append(blob)
+    if held:
+        yield part, np.frombuffer(b"".join(held), kind)
+
+
 def _as_bytes(texts: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in texts.cast(pa.binary()).to_pylist()]
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripchain.llm.common import Scratch, free_name, mix64, odd_powers, slices, text_key, tidy
+from tripchain.llm.common import Scratch, by_part, free_name, mix64, odd_powers, parts_of, runs_of_parts, slices, text_key, tidy
 
 #: Words of a gram. Longer ones are rarer, shorter ones make fewer and longer spans.
 GRAM = 14
@@ -108,8 +108,8 @@ def span_table(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def shared_grams(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
     """(tk, gram, hot) of every gram that lies in another text too or twice in this one."""
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions, parts = parts_of(docs)
+    kind = np.dtype([("gram", "<u8"), ("tk", "V16"), ("alone", "u1")])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, owners, names, seen = [], [], [], set()
@@ -129,25 +129,19 @@ def shared_grams(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
         run = np.cumsum(first) - 1
         size = np.bincount(run) if len(key) else np.zeros(0, int)
         tk = np.array(names, dtype="S16").view("V16") if names else np.empty(0, "V16")
-        record = np.zeros(int(first.sum()), [("gram", "<u8"), ("tk", "V16"), ("alone", "u1")])
+        record = np.zeros(int(first.sum()), kind)
         record["gram"], record["tk"], record["alone"] = key[first], tk[owner[first]], size == 1
-        for b, blob in _by_bucket(record, record["gram"], buckets):
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "blob": pa.array([blob], pa.binary()), "found": pa.array([b""], pa.binary())})
+        for part, blob in by_part(record, record["gram"], parts):
+            yield pa.RecordBatch.from_pydict({"part": part, "blob": blob, "found": pa.array([b""] * len(part), pa.binary())})
         twice = np.repeat(size > 1, size)
         here = np.zeros(int(twice.sum()), [("gram", "<u8"), ("tk", "V16")])
         here["gram"], here["tk"] = key[twice], tk[owner[twice]]
         for i in range(0, len(here), 1 << 16):
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([-1], pa.int32()), "blob": pa.array([b""], pa.binary()),
+            yield pa.RecordBatch.from_pydict({"part": pa.array([-1], pa.int32()), "blob": pa.array([b""], pa.binary()),
                                               "found": pa.array([np.unique(here[i : i + (1 << 16)].view("V24")).tobytes()], pa.binary())})
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [x for b in batches for x in b.column(0).to_pylist()]
-        record = np.frombuffer(b"".join(got), [("gram", "<u8"), ("tk", "V16"), ("alone", "u1")])
-        del got
-        order = np.argsort(record["gram"], kind="stable")
-        record = record[order]
-        if not len(record):
-            return
+    def meet(record: np.ndarray) -> Iterator[pa.RecordBatch]:
+        record = record[np.argsort(record["gram"], kind="stable")]
         gram, tk = record["gram"], np.ascontiguousarray(record["tk"]).view("<u8").reshape(-1, 2)
         first = np.concatenate([[True], gram[1:] != gram[:-1]])
         run = np.cumsum(first) - 1
@@ -159,28 +153,24 @@ def shared_grams(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
         out["gram"], out["tk"] = told["gram"], told["tk"]
         yield from _pairs(np.unique(out.view("V24")).view(out.dtype))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, record in runs_of_parts(batches, kind):
+            yield from meet(record)
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for blob in b.column(0).to_pylist():
                 yield from _pairs(np.frombuffer(blob, [("gram", "<u8"), ("tk", "V16")]))
 
-    listed = scratch.keep(docs.select(text_key(F.col("text")).alias("tk"), "text").mapInArrow(tidy(local), "bucket int, blob binary, found binary"), "grams")
-    met = listed.where("bucket >= 0").select("bucket", "blob").repartition(buckets, "bucket").select("blob").mapInArrow(tidy(meet), "tk binary, gram long")
-    here = listed.where("bucket < 0").select("found").mapInArrow(tidy(spread), "tk binary, gram long")
+    listed = scratch.keep(docs.select(text_key(F.col("text")).alias("tk"), "text").mapInArrow(tidy(local), "part int, blob binary, found binary"), "grams")
+    # Spark sorts the parts, on disk where it must; Python holds one.
+    met = listed.where("part >= 0").select("part", "blob").repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(tidy(run), "tk binary, gram long")
+    here = listed.where("part < 0").select("found").mapInArrow(tidy(spread), "tk binary, gram long")
     pairs = scratch.keep(met.unionByName(here), "shared")
     hot = pairs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("gram", F.lit(True).alias("hot"))
     return pairs.join(hot, "gram", "left").select("tk", "gram", F.coalesce("hot", F.lit(False)).alias("hot"))
 
 
-def _by_bucket(record: np.ndarray, key: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    bucket = (key % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        if cut[b] < cut[b + 1]:
-            yield b, record[order[cut[b] : cut[b + 1]]].tobytes()
-
-
 def _pairs(out: np.ndarray) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(out), 1 << 16):
         part = out[i : i + (1 << 16)]
@@ -324,10 +314,10 @@ def remove_repeats(docs: DataFrame, window: int = 35, scratch: Scratch | None =
 
 def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """The documents with the words in repeated windows cut out; texts without any stay as they are."""
-    scratch, own = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
     key, kept = free_name(docs, "_tk"), free_name(docs, "_kept")
-    changed = own.keep(remove_repeats(docs, window, scratch).where("n_removed > 0").select(F.col("tk").alias(key), F.col("kept").alias(kept)), "changed")
-    scratch.drop()
+    with Scratch(docs.sparkSession) as scratch:
+        found = remove_repeats(docs, window, scratch).where("n_removed > 0").select(F.col("tk").alias(key), F.col("kept").alias(kept))
+        changed = Scratch(docs.sparkSession).keep(found, "changed")
     joined = docs.withColumn(key, text_key(F.col("text"))).join(changed, key, "left")
     text = F.coalesce(kept, "text")
     return joined.withColumns({"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})).select(docs.columns)
@@ -335,9 +325,7 @@ def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
 
 def report(docs: DataFrame, window: int = 35) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every document."""
-    scratch = Scratch(docs.sparkSession)
-    found = remove_repeats(docs, window, scratch).select("tk", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("tk"))
-    result = Scratch(docs.sparkSession).keep(rows.join(found, "tk").select("doc_id", "n_words", "n_removed", "kept_sha256"), "kept")
-    scratch.drop()
-    return result
+    with Scratch(docs.sparkSession) as scratch:
+        found = remove_repeats(docs, window, scratch).select("tk", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+        rows = docs.select("doc_id", text_key(F.col("text")).alias("tk"))
+        return Scratch(docs.sparkSession).keep(rows.join(found, "tk").select("doc_id", "n_words", "n_removed", "kept_sha256"), "kept")
