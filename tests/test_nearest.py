@@ -10,6 +10,7 @@ from tripchain.functions.geo import point_in_buffer, with_bin, with_near_bins
 from tripchain.functions.hexgrid import distance, with_cell
 from tripchain.operators import nearest
 from tripchain.operators.skew import split_hot
+from tripchain.plans import day
 from tripchain.session import settle
 
 
@@ -109,3 +110,18 @@ def test_bins_hold_stops_exactly_at_the_buffer(spark, dx, dy):
     stops = places.selectExpr("id", f"round(lon + {dx}D, 3) AS lon", f"round(lat + {dy}D, 3) AS lat")
     met = with_near_bins(places, "lon", "lat", 0.03).join(with_bin(stops, "lon", "lat", 0.03).select("id", "bin_x", "bin_y"), ["id", "bin_x", "bin_y"])
     assert met.count() == 4001
+
+
+def test_a_task_arranges_a_bounded_number_of_rows(taps, stop_table, line_table):
+    """Tasks grow in number with the rows, not in size, whatever the session's shuffle partitions and coalescing."""
+    df = taps([dict(id=i, id_tarjeta=i % 120, hora=i % 24, interno_bus=i, lon=round(-58.5 + i % 7 / 100, 2)) for i in range(2400)])
+    stops, lines = stop_table([(i, 1, 10, round(-58.5 + i / 100, 2), -34.6) for i in range(7)]), line_table([(10, 1)])
+    config = Config(task_rows=200)
+    for copies in (1, 3):
+        more = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumns({
+            "id": F.col("id") + 10_000 * F.col("copy"), "id_tarjeta": F.col("id_tarjeta") + 1000 * F.col("copy")}).drop("copy")
+        cold = day.chained(more, config).cold
+        sizes = [r["count"] for r in cold.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 2400 * copies and len(sizes) > 9 * copies and max(sizes) <= 3 * config.task_rows
+        few, many = (sorted(map(repr, day.finished_stages(more, stops, lines, c).collect())) for c in (Config(), config))
+        assert few == many and few

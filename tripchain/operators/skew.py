@@ -11,7 +11,7 @@ ranks by blocks of bounded size. No row is dropped on either path.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -30,19 +30,26 @@ class Cards:
 
     cold: DataFrame
     hot: DataFrame | None = None
+    #: Partitions for the rows of ordinary cards, by their counted number.
+    parts: int = 1
 
     def apply(self, step: Callable[..., DataFrame], *args, cut: bool = False, **kwargs) -> "Cards":
         """Run a step on both parts; ``cut`` ends the hot part's lineage after it."""
         cold = step(self.cold, *args, spread=False, **kwargs)
         if self.hot is None:
-            return Cards(cold)
+            return replace(self, cold=cold)
         hot = step(self.hot, *args, spread=True, **kwargs)
-        return Cards(cold, settle(hot, "hot") if cut else hot)
+        return replace(self, cold=cold, hot=settle(hot, "hot") if cut else hot)
 
     def map(self, step: Callable[..., DataFrame], *args, **kwargs) -> "Cards":
         """Run a row-wise step, the same on both parts."""
-        return Cards(step(self.cold, *args, **kwargs),
-                     None if self.hot is None else step(self.hot, *args, **kwargs))
+        return replace(self, cold=step(self.cold, *args, **kwargs),
+                       hot=None if self.hot is None else step(self.hot, *args, **kwargs))
+
+    def gather(self, card: Sequence[str]) -> "Cards":
+        """The one exchange by card. A task sorts its rows for many windows, all in memory at once, so their number has a bound
+        that neither the size of the input nor a coalescing of partitions by their compressed bytes moves."""
+        return replace(self, cold=self.cold.repartition(self.parts, *card))
 
     def union(self) -> DataFrame:
         return self.cold if self.hot is None else self.cold.unionByName(self.hot)
@@ -51,19 +58,28 @@ class Cards:
 def split_hot(df: DataFrame, config: Config = Config()) -> Cards:
     """Split off the cards with more than ``hot_rows`` rows.
 
-    Runs one job: a count per card, which combines map-side. The list of hot cards has at
+    Keeps a count per card, which combines map-side. The list of hot cards has at
     most rows / hot_rows entries. Its real size decides whether it is broadcast.
     """
     card = list(config.card_keys)
-    counts = df.groupBy(*card).agg(F.count("*").alias("_n"))
-    hot_cards = settle(counts.where(F.col("_n") > config.hot_rows).select(*card), "hot-cards")
-    found = hot_cards.count()
+    counts = settle(df.groupBy(*card).agg(F.count("*").alias("_n")), "card-counts")
+    is_hot = F.col("_n") > config.hot_rows
+    found, rows = counts.agg(F.count_if(is_hot), F.sum(F.when(~is_hot, F.col("_n")))).first()
+    parts = parts_for(df, rows or 0, config)
     if found == 0:
-        return Cards(df)
+        return Cards(df, parts=parts)
+    hot_cards = counts.where(is_hot).select(*card)
     if found <= config.hot_broadcast:
         hot_cards = F.broadcast(hot_cards)
     return Cards(df.join(hot_cards, card, "left_anti"),
-                 settle(df.join(hot_cards, card, "left_semi"), "hot"))
+                 settle(df.join(hot_cards, card, "left_semi"), "hot"), parts)
+
+
+def parts_for(df: DataFrame, rows: int, config: Config = Config()) -> int:
+    """Partitions of at most about ``task_rows`` rows; a small table still uses all cores."""
+    spark = df.sparkSession
+    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(1, least, -(-rows // config.task_rows))
 
 
 def join_back(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:

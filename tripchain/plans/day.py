@@ -8,7 +8,7 @@ origins, before the one by card, and two for destinations.
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
@@ -27,14 +27,14 @@ class Result:
 
 
 def started(trx: DataFrame, config: Config = Config(), lines: DataFrame | None = None, origins: DataFrame | None = None) -> Cards:
-    """Taps with a card; with ``origins`` also on canonical lines and with their origin stop, null where there is none.
+    """Taps with a card, gathered by it; with ``origins`` also on canonical lines and with their origin stop, null where there is none.
 
     An origin depends on the tap alone, so it is attached to rows as they come, before any exchange by card.
     """
     cards = split_hot(chain.base_stages(trx, config.card_keys), config)
-    if origins is None:
-        return cards
-    return cards.map(clean.normalize_line, lines).map(nearest.attach_origin, origins, config)
+    if origins is not None:
+        cards = cards.map(clean.normalize_line, lines).map(nearest.attach_origin, origins, config)
+    return cards.gather(config.card_keys)
 
 
 def chained(trx: DataFrame, config: Config = Config(), lines: DataFrame | None = None, origins: DataFrame | None = None) -> Cards:
@@ -123,7 +123,7 @@ def with_destinations(trx: DataFrame, stops: DataFrame, lines: DataFrame, origin
     here, in buckets of the card, and read for these pairs and then for all that follows, without another exchange.
     """
     linked = with_next(trx, lines, origins, config)
-    linked = Cards(settle_by(linked.cold, "linked", config.card_keys), linked.hot)
+    linked = replace(linked, cold=settle_by(linked.cold, "linked", config.card_keys, linked.parts))
     lookup = settle(nearest.destination_lookup(destinations.asked_pairs(linked.union()), stops, config), "destination")
     return linked.apply(destinations.impute_destination, lookup, config, config.card_keys, cut=True)
 
