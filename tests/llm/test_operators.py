@@ -378,6 +378,20 @@ def test_ann_opens_more_lists_where_few_do_not_find_enough(spark, monkeypatch):
     assert sum(len(set(near[q]) & set(own["vec_id"])) for q, own in got.groupby("query_id")) >= 0.9 * 600
 
 
+def test_ann_finds_what_is_near_also_in_thin_regions():
+    """Wide heaps with a tenth of the rows: in the mean of all queries their misses do not show, so they have bounds of their own."""
+    rng = np.random.default_rng(9)
+    n, heap = 30_000, rng.integers(0, 300, 30_000)
+    wide = np.where(np.arange(300) % 10, 0.5, 40.0)[heap]
+    vectors = 10 * rng.standard_normal((300, 32))[heap] + wide[:, None] * rng.standard_normal((n, 32))
+    index = ann.Index(ann.balanced_centroids(vectors[: n // 4], ann.lists_for(n)))
+    asked = np.arange(n - 1, 0, -60)
+    near = np.argsort(ann.squares(vectors[asked], vectors), axis=1)[:, 1:11]
+    index.widen(vectors[asked], np.repeat(np.arange(len(asked)), 10), vectors[near.ravel()])
+    for some in (np.flatnonzero(wide[asked] == 40), np.flatnonzero(wide[asked] < 1)):
+        assert index.recall(vectors[asked[some]], np.repeat(np.arange(len(some)), 10), vectors[near[some].ravel()]) >= 0.95
+
+
 def test_ann_graph_leads_to_the_nearest_lists():
     rng = np.random.default_rng(6)
     centroids, queries = rng.standard_normal((3000, 64)), rng.standard_normal((40, 64))

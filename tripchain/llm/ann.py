@@ -4,9 +4,10 @@ Centroids are fitted by balanced halving on a bounded sample (``SAMPLE`` rows).
 then with the root of the rows, up to ``MAX_LISTS``, so that what every task holds has a bound. Every vector is indexed: it goes to its nearest list
 and, near a border, to up to ``REPLICAS`` lists in all. At every size a query walks a graph over the centroids, held in memory, best first with a beam,
 and opens those of the nearest lists whose centroid is within a ratio of the nearest one's distance (or of a list's own width, if that is more).
-Both bounds are measured on every input: ``TRIED`` query vectors are compared with all rows; from ``PROBES`` on, the lists are doubled until ``RECALL``
-of what they should find lies in opened lists, and then the smallest ratio is taken that keeps this share. Lists are read in blocks of bounded size, so a
-heavy list is many tasks. Distances are computed on the original vectors.
+Both bounds are measured on every input: ``TRIED`` query vectors are compared with all rows and dealt to up to ``GROUPS`` groups by their distance to the
+nearest centroid, so that queries of thin regions, whose neighbours are spread over many lists, are no small part of a good mean. In each group the lists are
+doubled from ``PROBES`` on until ``RECALL`` of what it should find lies in opened lists, and then the smallest ratio is taken that keeps this share. Lists are
+read in blocks of bounded size, so a heavy list is many tasks. Distances are computed on the original vectors.
 
 Of vectors that are equal in all components only the k+1 smallest ids can ever be in an answer, as ties go to the smaller id; only those
 are listed. Equal query vectors are searched once. A query whose lists hold too few vectors is searched in all lists.
@@ -35,7 +36,9 @@ REPLICAS, REPLICA_RATIO = 6, 1.25
 #: Lists that a query opens at first, and the steps by which the distance ratio goes up from 1 (each twice the one before).
 PROBES, RATIO_STEP, RATIO_STEPS = 64, 0.0625, 40
 #: Query vectors whose answers are counted, and the share of their neighbours to be found: over the wanted 0.9 by more than the count's error.
-TRIED, RECALL = 256, 0.95
+TRIED, RECALL = 1024, 0.98
+#: Groups of queries with bounds of their own, and tried queries that a group has at least.
+GROUPS, GROUP_TRIED = 8, 64
 BLOCK_ROWS = 8192
 #: Links of a centroid to near ones and to far ones, and centroids of the beam that a step of the walk follows.
 DEGREE, FAR, FOLLOWED = 16, 4, 8
@@ -161,6 +164,8 @@ class Index:
     def __init__(self, centroids: np.ndarray):
         self.centroids, self.graph = centroids, CentroidGraph(centroids)
         self.opened, self.ratio = min(PROBES, len(centroids)), 1.0
+        #: Bounds of the groups of queries once they are measured; ``opened`` and ``ratio`` are then the largest of them.
+        self.edges, self.bounds = np.empty(0), None
         # A list's width: the usual distance from its centroid to the next one. A query may sit on a centroid.
         self.width = float(np.sqrt(np.median(self.graph.nearest(centroids, 2)[1][:, 1]))) if len(centroids) > 1 else 0.0
 
@@ -185,21 +190,36 @@ class Index:
         row, at = np.nonzero(taken)
         return row + start, near[row, at]
 
-    def walked(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def walked(self, vectors: np.ndarray, opened: int) -> tuple[np.ndarray, np.ndarray]:
         """(lists, distance ratios) of the nearest lists that the graph leads to; a missing one has an infinite ratio."""
-        near, far = self.graph.nearest(vectors, self.opened)
+        near, far = self.graph.nearest(vectors, opened)
         far = np.sqrt(far)
         least = np.maximum(np.maximum(far[:, :1], self.width), 1e-12)
         return near, np.where(near >= 0, far / least, np.inf)
 
-    def probes(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        near, ratio = self.walked(vectors)
-        row, at = np.nonzero(ratio <= self.ratio)
-        return row, near[row, at]
+    def gap(self, vectors: np.ndarray) -> np.ndarray:
+        """Squared distance to the nearest centroid, as a short walk gives it."""
+        return self.graph.nearest(vectors, min(PROBES, len(self.centroids)))[1][:, 0]
+
+    def groups_of(self, vectors: np.ndarray) -> list[tuple[np.ndarray, int, float]]:
+        """(vectors, lists, ratio): how far the queries of each group go; before anything is measured, all are one group."""
+        if self.bounds is None:
+            return [(np.arange(len(vectors)), self.opened, self.ratio)]
+        group = np.searchsorted(self.edges, self.gap(vectors))
+        return [(np.flatnonzero(group == g), *self.bounds[g]) for g in np.unique(group)]
 
-    def needed(self, queries: np.ndarray, row: np.ndarray, neighbours: np.ndarray) -> np.ndarray:
+    def probes(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows, lists = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+        for own, opened, most in self.groups_of(vectors):
+            near, ratio = self.walked(vectors[own], opened)
+            row, at = np.nonzero(ratio <= most)
+            rows.append(own[row])
+            lists.append(near[row, at])
+        return np.concatenate(rows), np.concatenate(lists)
+
+    def needed(self, queries: np.ndarray, row: np.ndarray, neighbours: np.ndarray, opened: int) -> np.ndarray:
         """The smallest ratio with which each of ``neighbours``, one of query ``row``, lies in an opened list (infinite: in none that the walk gives)."""
-        near, ratio = self.walked(queries)
+        near, ratio = self.walked(queries, opened)
         reach = np.full((len(queries), len(self.centroids)), np.inf)
         query, place = np.nonzero(near >= 0)
         reach[query, near[query, place]] = ratio[query, place]
@@ -211,20 +231,34 @@ class Index:
 
     def recall(self, queries: np.ndarray, row: np.ndarray, neighbours: np.ndarray) -> float:
         """The share of ``neighbours`` that lie in a list which their query opens."""
-        least = self.needed(queries, row, neighbours)
-        return float((least <= self.ratio).mean()) if len(least) else 1.0
+        found = 0
+        for own, opened, most in self.groups_of(queries):
+            of = np.isin(row, own)
+            found += (self.needed(queries[own], np.searchsorted(own, row[of]), neighbours[of], opened) <= most).sum()
+        return float(found / len(row)) if len(row) else 1.0
 
     def widen(self, queries: np.ndarray, row: np.ndarray, neighbours: np.ndarray) -> None:
-        """Open twice as many lists until enough of the known neighbours lie in them, then take the smallest ratio that keeps enough."""
-        while True:
-            least = self.needed(queries, row, neighbours)
-            if self.opened >= len(self.centroids) or np.isfinite(least).sum() >= RECALL * len(least):
-                break
-            self.opened = min(2 * self.opened, len(self.centroids))
-        for step in range(RATIO_STEPS):
-            self.ratio = 1 + RATIO_STEP * 2**step
-            if len(least) and (least <= self.ratio).sum() >= RECALL * len(least):
-                break
+        """In each group of queries open twice as many lists until enough of the known neighbours lie in them, then take the smallest ratio that keeps enough."""
+        gap, start = self.gap(queries), self.opened
+        parts = max(1, min(GROUPS, len(queries) // GROUP_TRIED))
+        self.edges, self.bounds = np.quantile(gap, np.arange(1, parts) / parts), []
+        group = np.searchsorted(self.edges, gap)
+        for g in range(parts):
+            own = np.flatnonzero(group == g)
+            of = np.isin(row, own)
+            known = queries[own], np.searchsorted(own, row[of]), neighbours[of]
+            opened = start
+            while True:
+                least = self.needed(*known, opened)
+                if opened >= len(self.centroids) or np.isfinite(least).sum() >= RECALL * len(least):
+                    break
+                opened = min(2 * opened, len(self.centroids))
+            for step in range(RATIO_STEPS):
+                ratio = 1 + RATIO_STEP * 2**step
+                if len(least) and (least <= ratio).sum() >= RECALL * len(least):
+                    break
+            self.bounds.append((opened, ratio))
+        self.opened, self.ratio = (max(b) for b in zip(*self.bounds))
 
 
 def _spread(index: Index, rows: DataFrame, which: str) -> DataFrame:
