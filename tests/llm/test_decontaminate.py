@@ -1,8 +1,11 @@
 """The index against plain sorting and counting, and benchmarks of several blocks."""
 
 import random
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tripchain.llm import decontaminate
@@ -48,3 +51,19 @@ def test_a_benchmark_of_several_blocks_gives_what_one_block_gives(spark, monkeyp
     assert len(sent) == 2 * 4 or len(sent) == 2 * 3
     assert sum(sent) == 2 * 41 and max(sent) < 41
     assert any(r[2] for r in whole[0])
+
+
+def test_a_shard_holds_little_memory():
+    """A task works on the texts of a batch shard by shard; what one index and its words hold is bounded, whatever the batch."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(words[i] for i in rng.integers(0, 5000, 1500)) for _ in range(1000)]  # 9 MB
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+    batch = pa.RecordBatch.from_pydict({"_text": texts, "spans": pa.nulls(1000, kind), "items": pa.nulls(1000, pa.list_(pa.string())), "n_words": pa.array([0] * 1000)})
+    sent = SimpleNamespace(value=[("a", texts[7].encode()[:200])])
+    tracemalloc.start()
+    found = list(decontaminate._searcher(sent, 10)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(part.num_rows for part in found) == 1000 and sum(map(bool, (x for part in found for x in part.column("items").to_pylist()))) == 1
+    assert peak < 120 << 20, peak

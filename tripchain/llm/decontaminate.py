@@ -27,7 +27,7 @@ from tripchain.llm.common import Run, Scratch, slices, tidy
 #: Benchmark text sent to the tasks at once.
 BLOCK_BYTES = 16 << 20
 #: Text of a shard: one index is built over about this much.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 SAMPLE = 16
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
