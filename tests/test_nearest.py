@@ -125,3 +125,20 @@ def test_a_task_arranges_a_bounded_number_of_rows(taps, stop_table, line_table):
         assert sum(sizes) == 2400 * copies and len(sizes) > 9 * copies and max(sizes) <= 3 * config.task_rows
         few, many = (sorted(map(repr, day.finished_stages(more, stops, lines, c).collect())) for c in (Config(), config))
         assert few == many and few
+
+
+def test_a_task_searches_stops_for_a_bounded_number_of_places(spark, stop_table):
+    """Lookups have tasks by the counted places and cells, whatever the bytes that these take."""
+    places = settle(spark.range(2400).selectExpr(
+        "1 AS line", "cast(-58.5 + id % 60 / 1000D AS decimal(20, 12)) AS lon", "cast(-34.6 + floor(id / 60) / 1000D AS decimal(20, 12)) AS lat"), "places")
+    stops = stop_table([(i, 1, 10, round(-58.5 + i / 100, 2), round(-34.6 + i % 3 / 100, 2)) for i in range(6)])
+    taps = places.selectExpr("'COL' AS modo", "line AS id_linea", "10 AS id_ramal", "lon", "lat")
+    for config in (Config(task_places=200), Config(task_places=400)):
+        cells = nearest.cells_of(taps, config)
+        for lookup, asked, wide in (
+                (nearest.destination_lookup(places, stops, config), 2400, nearest.destination_lookup(places, stops, Config())),
+                (nearest.origin_lookup(cells, stops, config), cells.count(), nearest.origin_lookup(cells, stops, Config()))):
+            found = settle(lookup.withColumn("part", F.spark_partition_id()), "found")
+            sizes = [r["count"] for r in found.groupBy("part").count().collect()]
+            assert len(sizes) > asked / config.task_places / 2 and max(sizes) <= 2 * config.task_places
+            assert sorted(map(repr, found.drop("part").collect())) == sorted(map(repr, wide.collect()))

@@ -45,6 +45,8 @@ class Config:
     hot_broadcast: int = 1_000_000
     # Rows of ordinary cards that one task arranges, about: their number is counted and divided by this.
     task_rows: int = 100_000
+    # Places or cells for which one task searches stops, about.
+    task_places: int = 2_000
     # Most stops (counted per line and branch) that are broadcast to the places.
     broadcast_spots: int = 1_000_000
     # Most rows (counted) of a table of origins or destinations that are broadcast to the taps.

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tripchain.config import Config
 from tripchain.functions.geo import point_in_buffer, with_bin, with_near_bins
 from tripchain.functions.hexgrid import distance, with_cell
+from tripchain.operators.skew import parts_for
 from tripchain.session import settle
 
 LINE, BRANCH = "linea", "ramal"
@@ -54,6 +55,13 @@ def _as_double(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({f"{c}_deg": F.col(c).cast("double") for c in columns})
 
 
+def _dealt(asked: DataFrame, by: Sequence[str], config: Config) -> DataFrame:
+    """Places or cells in parts of about ``task_places``. Each meets many stops and is kept at every distance to them until the
+    nearest is known, so a part coalesced by its few bytes would be too much for one task."""
+    kept = settle(asked, "asked")
+    return kept.repartition(parts_for(kept, kept.count(), config.task_places), *by)
+
+
 def _met(near: DataFrame, keyed: DataFrame, on: Sequence[str], by: Sequence[str], broadcast_spots: int) -> DataFrame:
     """Rows of ``near`` with the stops of their bins. Stops are broadcast only up to a counted number; beyond that, a bin in
     the centre may have a large share of the rows, and each bin is cut into salts by the columns ``by``."""
@@ -109,9 +117,8 @@ def origin_lookup(cells: DataFrame, stops: DataFrame, config: Config = Config())
         .withColumns({"bin_x": _cell_bin("stop_q", width), "bin_y": _cell_bin("stop_r", width)})
     )
     step = F.explode(F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long")))
-    # Each cell meets many stops: spread the cells before they are matched.
     near = (
-        cells.select(*ORIGIN_KEY).repartition("cell_q", "cell_r").withColumn("_dx", step).withColumn("_dy", step)
+        _dealt(cells.select(*ORIGIN_KEY), ["cell_q", "cell_r"], config).withColumn("_dx", step).withColumn("_dy", step)
         .withColumns({"bin_x": _cell_bin("cell_q", width) + F.col("_dx"), "bin_y": _cell_bin("cell_r", width) + F.col("_dy")})
     )
     pairs = _met(near, spots, ["route_kind", "route"], ORIGIN_KEY, config.broadcast_spots).withColumn("_dist", F.expr(CELL_DISTANCE))
@@ -131,9 +138,8 @@ def destination_lookup(asked: DataFrame, stops: DataFrame, config: Config = Conf
 
 def _held(places: DataFrame, spots: DataFrame, config: Config) -> DataFrame:
     """Places (line, lon, lat) with each of the line's stops whose buffer holds them."""
-    # Each place meets many stops: spread the places before they are matched. Only the nine bins round a place can hold a stop
-    # within a bin's width of it.
-    near = with_near_bins(_as_double(places.repartition("lon", "lat"), "lon", "lat"), "lon_deg", "lat_deg", config.buffer_deg)
+    # Only the nine bins round a place can hold a stop within a bin's width of it.
+    near = with_near_bins(_as_double(_dealt(places, ["lon", "lat"], config), "lon", "lat"), "lon_deg", "lat_deg", config.buffer_deg)
     keyed = with_bin(_as_double(spots, "stop_lon", "stop_lat"), "stop_lon_deg", "stop_lat_deg", config.buffer_deg)
     inside = point_in_buffer("lon_deg", "lat_deg", "stop_lon_deg", "stop_lat_deg", config.buffer_deg, config.buffer_quad_segs)
     return _met(near, keyed, ["line"], ["lon", "lat"], config.broadcast_spots).where(inside)

@@ -65,7 +65,7 @@ def split_hot(df: DataFrame, config: Config = Config()) -> Cards:
     counts = settle(df.groupBy(*card).agg(F.count("*").alias("_n")), "card-counts")
     is_hot = F.col("_n") > config.hot_rows
     found, rows = counts.agg(F.count_if(is_hot), F.sum(F.when(~is_hot, F.col("_n")))).first()
-    parts = parts_for(df, rows or 0, config)
+    parts = parts_for(df, rows or 0, config.task_rows)
     if found == 0:
         return Cards(df, parts=parts)
     hot_cards = counts.where(is_hot).select(*card)
@@ -75,11 +75,11 @@ def split_hot(df: DataFrame, config: Config = Config()) -> Cards:
                  settle(df.join(hot_cards, card, "left_semi"), "hot"), parts)
 
 
-def parts_for(df: DataFrame, rows: int, config: Config = Config()) -> int:
+def parts_for(df: DataFrame, rows: int, task_rows: int) -> int:
     """Partitions of at most about ``task_rows`` rows; a small table still uses all cores."""
     spark = df.sparkSession
     least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return max(1, least, -(-rows // config.task_rows))
+    return max(1, least, -(-rows // task_rows))
 
 
 def join_back(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
